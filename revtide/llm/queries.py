@@ -5,9 +5,20 @@ from __future__ import annotations
 from . import exact_dedup
 from .bpe import op4_bpe
 from .exact_dedup import op9_exact_dedup
+from .hmm import op10_hmm_score
+from .html_text import op7_html_text
 from .langid import op3_language_id
+from .licenses import op2_license_scan
+from .neighbours import op1_neighbours
 from .packing import op8_packing
+from .pii import op6_pii
 from .simhash import op5_simhash
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_bpe, op5_simhash, op8_packing, op9_exact_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_neighbours, op2_license_scan, op3_language_id, op4_bpe, op5_simhash, op6_pii, op7_html_text, op8_packing,
+        op9_exact_dedup, op10_hmm_score,
+    )
+}
 ORACLES = {"op9_exact_dedup": exact_dedup.SQL}
