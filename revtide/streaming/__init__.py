@@ -1,0 +1 @@
+"""The data model has no streams (its only incremental state is a listing cursor), so this package holds nothing yet."""
