@@ -11,8 +11,11 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -99,6 +102,38 @@ class Words:
         return [known.get(w) or rest[w] for w in words]
 
 
+#: A word, apart from the signs that end it: the pre-tokenizer separates them too. Else what white space separates.
+PART = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[.,;:!?%*#$&]++(?:[ \t-\r]|\Z))|[^ \t-\r]+")
+
+
+class IdCache:
+    """Ids of whole texts (little-endian unsigned 32-bit); remembers at most `most` words, the oldest half goes first."""
+
+    def __init__(self, path: str, most: int):
+        tokenizer = load_tokenizer(path)
+        self.encode_batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        self.ids, self.most = {}, most
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        words = [PART.findall(t or "") for t in texts]
+        missing = list(set(chain.from_iterable(words)).difference(self.ids))
+        if len(self.ids) + len(missing) > self.most:
+            self.ids = dict(islice(self.ids.items(), len(self.ids) // 2, None))
+            missing = list(set(chain.from_iterable(words)).difference(self.ids))
+        for i in range(0, len(missing), 5_000):
+            part = missing[i : i + 5_000]
+            for w, e in zip(part, self.encode_batch(part, add_special_tokens=False)):
+                self.ids[w] = array("I", e.ids).tobytes()
+        ids = self.ids
+        return [b"".join([ids[w] for w in own]) for own in words]
+
+
+@lru_cache(maxsize=1)
+def worker_cache(path: str, most: int) -> IdCache:
+    """One for all tasks of a Python worker."""
+    return IdCache(path, most)
+
+
 def head_table(docs: DataFrame, path: str, text_col: str = "text", most: int = HEAD_WORDS) -> DataFrame:
     """(word, ids, decoded) of the most frequent words: encoded once each, decoded through a join of ids and pieces."""
     spark = docs.sparkSession

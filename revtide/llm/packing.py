@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import WORD, Words, vocabulary
+from .bpe import vocabulary, worker_cache
 from .shared import salt, small_batches, stage, table
 
 CAPACITY, END = 4096, 1
@@ -28,7 +28,7 @@ CLASSES, RATE = 128, 0.3
 #: Pieces of one length are ranked in this many parts.
 PARTS = 256
 #: Words that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 Filling = tuple[tuple[int, int], ...]  # (length, copies), longest first
 
@@ -37,11 +37,12 @@ def pieces(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "do
     """(id, piece, start, length, ids_crc32): each text's ids, ended by END, cut every `capacity` tokens."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, end = Words(path, most=REMEMBERED), np.array([END], "<u4").tobytes()
+        cache, end = worker_cache(path, REMEMBERED), np.array([END], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch[id_col].astype(object).where(batch[id_col].notna(), None), batch["_text"]):
-                ids = b"".join([x[0] for x in words.encode(WORD.findall(text or ""))]) + end
+            texts = cache.encode(batch["_text"].tolist())
+            for doc, ids in zip(batch[id_col].astype(object).where(batch[id_col].notna(), None), texts):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
