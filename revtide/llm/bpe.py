@@ -15,7 +15,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -106,26 +106,54 @@ class Words:
 PART = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[.,;:!?%*#$&]++(?:[ \t-\r]|\Z))|[^ \t-\r]+")
 
 
+#: How special tokens of the vocabulary begin, and one that separates words encoded in one go.
+SPECIAL, SEPARATOR = "<|", "<|endoftext|>"
+
+
+def plain_lower(text: str) -> str:
+    """A-Z to a-z where the tokenizer's own lower-casing gives the same: not beside special tokens or combining marks."""
+    raw = text.encode()
+    return text if SPECIAL in text or b"\xcc" in raw or b"\xcd" in raw else raw.lower().decode()
+
+
 class IdCache:
     """Ids of whole texts (little-endian unsigned 32-bit); remembers at most `most` words, the oldest half goes first."""
 
     def __init__(self, path: str, most: int):
         tokenizer = load_tokenizer(path)
         self.encode_batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        self.ids, self.most = {}, most
+        self.ids, self.most, self.separator = {}, most, tokenizer.token_to_id(SEPARATOR)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        words = [PART.findall(t or "") for t in texts]
-        missing = list(set(chain.from_iterable(words)).difference(self.ids))
-        if len(self.ids) + len(missing) > self.most:
+        parts, gaps, missing = [], [], set()
+        for text in texts:
+            words = PART.findall(plain_lower(text or ""))
+            found = list(map(self.ids.get, words))
+            parts.append(found)
+            if None in found:
+                open_at = [(i, words[i]) for i, x in enumerate(found) if x is None]
+                missing.update(w for _, w in open_at)
+                gaps.append((found, open_at))
+        new = self.encoded(list(missing))
+        for found, open_at in gaps:
+            for i, w in open_at:
+                found[i] = new[w]
+        if len(self.ids) + len(new) > self.most:
             self.ids = dict(islice(self.ids.items(), len(self.ids) // 2, None))
-            missing = list(set(chain.from_iterable(words)).difference(self.ids))
-        for i in range(0, len(missing), 5_000):
-            part = missing[i : i + 5_000]
-            for w, e in zip(part, self.encode_batch(part, add_special_tokens=False)):
-                self.ids[w] = array("I", e.ids).tobytes()
-        ids = self.ids
-        return [b"".join([ids[w] for w in own]) for own in words]
+        self.ids.update(new)
+        return list(map(b"".join, parts))
+
+    def encoded(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words: many in one go, apart by a special token; words that may hold one on their own."""
+        odd, plain = [w for w in words if SPECIAL in w], [w for w in words if SPECIAL not in w]
+        ids = {w: array("I", e.ids).tobytes() for w, e in zip(odd, self.encode_batch(odd, add_special_tokens=False))}
+        for i in range(0, len(plain), 1_000):
+            some = plain[i : i + 1_000]
+            found = np.array(self.encode_batch([SEPARATOR.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            raw, start = found.tobytes(), 0
+            for w, end in zip(some, [*(4 * np.flatnonzero(found == self.separator)).tolist(), len(raw)], strict=True):
+                ids[w], start = raw[start:end], end + 4
+        return ids
 
 
 @lru_cache(maxsize=1)
