@@ -63,3 +63,19 @@ def answers(labels: DataFrame) -> DataFrame:
     status = F.when(usable == 0, "unsure").when(usable < 2, "single").when(F.col("valid") == F.col("not_valid"), "tie").otherwise("majority")
     answer = F.when(status.isin("majority", "single"), F.col("valid") > F.col("not_valid"))
     return counts.withColumns({"status": status, "answer": answer})
+
+
+def inter_annotator(labels: DataFrame) -> DataFrame:
+    """One row (method, kappa, labelers, items): Fleiss' kappa of three or more labelers, Cohen's of two; unsure is left out."""
+    kept = latest(labels).withColumn("labeler", F.lower("labeler"))
+    first, second, labelers = kept.agg(F.min("labeler"), F.max("labeler"), F.count_distinct("labeler")).first()
+    usable = kept.filter("verdict <> 'unsure'")
+    n = F.lit(labelers).cast("long").alias("labelers")
+    if labelers >= 3:
+        found = fleiss(usable.select("item", F.col("verdict").alias("category")))
+        return found.select(F.lit("fleiss").alias("method"), "kappa", n, "items")
+    if labelers == 2:
+        one = usable.filter(F.col("labeler") == first).select("item", F.col("verdict").alias("truth"))
+        other = usable.filter(F.col("labeler") == second).select("item", "verdict")
+        return cohen(one.join(other, "item")).select(F.lit("cohen").alias("method"), "kappa", n, F.col("n").alias("items"))
+    return kept.limit(0).agg(F.lit("").alias("method"), F.max(F.lit(None).cast("double")).alias("kappa"), n, F.count("*").alias("items"))

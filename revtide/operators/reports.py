@@ -128,3 +128,22 @@ def concentration(rows: DataFrame, group: str, member: str, cap: float) -> DataF
     counts = rows.groupBy(group, member).agg(F.count("*").alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy(group))
     return counts.withColumn("share", share).withColumn("factor", F.least(F.lit(1.0), F.lit(cap) / F.col("share")))
+
+
+def label_report(judged: DataFrame) -> DataFrame:
+    """Threads by author kind, outcome and polarity, with totals of each level (null names) and the share of all threads."""
+    counts = judged.groupBy("author_kind", "judged_outcome", "polarity").agg(F.count("*").alias("_n"))
+    levels = ["author_kind", "judged_outcome", "polarity"]
+    named = counts.select(*(F.coalesce(c, F.lit("undecided")).alias(c) for c in levels), "_n")
+    rows = named.rollup(*levels).agg(F.sum("_n").alias("threads"))
+    total = named.agg(F.sum("_n").alias("_all"))  # one row
+    return rows.crossJoin(F.broadcast(total)).select(*levels, "threads", (F.col("threads") / F.col("_all")).alias("share"))
+
+
+def summary_counts(scored: DataFrame) -> DataFrame:
+    """Findings, the share of each credit, PR-rounds and pull requests of a run, in one row."""
+    n = lambda name: F.sum((F.col("credit") == name).cast("long")).alias(name)
+    return scored.agg(
+        F.count("*").alias("findings"), n("tp"), n("vu"), n("fp"), n("neutral"), n("error"),
+        F.count_distinct("repo", "number").alias("prs"), F.count_distinct("repo", "number", "round").alias("rounds"),
+    )

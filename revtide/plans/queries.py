@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from ..operators import agreement, filters, publish, reports, scoring, splits, threads
+from ..operators import agreement, filters, publish, replay, reports, resampling, scoring, splits, threads
 from ..params import ScoringParams, SplitParams
 from .inputs import CANDIDATE, COMMENTS, FINDINGS, GOLD, LEDGER, PRS, RATERS, TEXTS, THREADS, Input
 
@@ -550,3 +550,115 @@ def x3_lesson_stages(spark, sf_dir):
 round(least(1.0, 0.024 / (n / sum(n) OVER (PARTITION BY language))), 6) AS factor FROM n""")
 def x6_concentration(spark, sf_dir):
     return rounded(reports.concentration(PRS.df(spark, sf_dir), "language", "author", 0.024))
+
+
+# ---------------------------------------------------------------------------------------------- resampling and replay
+
+def paired_sql(where: str = "TRUE") -> str:
+    sides = ", ".join(f"sum({x}.{s}) AS {x}_{s}" for x in "ci" for s in resampling.SUMS)
+    return f"""paired AS (SELECT c.repo, c.number, c.language, {sides} FROM cand_t c JOIN scored_t i USING (repo, number, round) WHERE {where} GROUP BY ALL)"""
+
+
+def deltas_sql(drawn: str, name: str) -> str:
+    def f(x: str) -> str:
+        p = f"CASE WHEN {x}_tp + {x}_vu + {x}_fp > 0 THEN ({x}_tp + {x}_vu) / ({x}_tp + {x}_vu + {x}_fp) ELSE 1.0 END"
+        r = f"CASE WHEN {x}_gold > 0 THEN {x}_tp / {x}_gold ELSE 1.0 END"
+        return f"CASE WHEN 0.25 * ({p}) + ({r}) > 0 THEN 1.25 * ({p}) * ({r}) / (0.25 * ({p}) + ({r})) ELSE 0.0 END"
+
+    sums = ", ".join(f"sum(times * {x}_{s}) AS {x}_{s}" for x in "ci" for s in resampling.SUMS)
+    weight = "CASE language WHEN 'python' THEN 0.45 WHEN 'typescript' THEN 0.25 WHEN 'go' THEN 0.2 ELSE 0.1 END"
+    return f"""{name}_s AS (SELECT sample, language, {sums} FROM {drawn} GROUP BY ALL),
+{name} AS (SELECT sample, sum({weight} * ({f('c')} - {f('i')})) / sum({weight}) AS delta FROM {name}_s GROUP BY sample)"""
+
+
+DRAW = "CAST(CAST('0x' || substr(sha256('boot' || chr(0) || concat_ws('/', sample, language, rank)), 1, 12) AS BIGINT) % n + 1 AS BIGINT)"
+
+
+def common_rounds(spark, sf_dir):
+    candidate, incumbent = tallies_of(spark, sf_dir, CANDIDATE), tallies_of(spark, sf_dir)
+    return candidate.join(incumbent.select(*scoring.ROUND), scoring.ROUND, "left_semi"), incumbent.join(candidate.select(*scoring.ROUND), scoring.ROUND, "left_semi")
+
+
+@query(f"""{BOTH_RUNS}, {paired_sql()},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY sha256('boot' || chr(0) || {KEY_SQL})) AS rank, count(*) OVER (PARTITION BY language) AS n FROM paired),
+slots AS (SELECT language, sample, {DRAW} AS rank FROM ranked, range(1, 51) AS b(sample)),
+drawn AS (SELECT s.sample, 1 AS times, r.* FROM slots s JOIN ranked r USING (language, rank)), {deltas_sql('drawn', 'sampled')},
+once AS (SELECT 0 AS sample, 1 AS times, * FROM paired), {deltas_sql('once', 'whole')}
+SELECT (SELECT round(delta, 6) FROM whole) AS delta, round(quantile_cont(delta, 0.025), 6) AS low, round(quantile_cont(delta, 0.975), 6) AS high,
+round(stddev_pop(delta), 6) AS sd, count(*) AS resamples FROM sampled""")
+def e6_paired_bootstrap(spark, sf_dir):
+    return rounded(resampling.paired_bootstrap(*common_rounds(spark, sf_dir), SCORING, 50, "boot"))
+
+
+@query(f"""{BOTH_RUNS}, {paired_sql('c.number % 5 = 0')}, once AS (SELECT 0 AS sample, 1 AS times, * FROM paired), {deltas_sql('once', 'whole')}
+SELECT (SELECT round(delta, 6) FROM whole) AS delta, count(*) AS missing FROM scored_t i WHERE number % 5 = 0 AND NOT EXISTS
+(SELECT 1 FROM cand_t c WHERE c.repo = i.repo AND c.number = i.number AND c.round = i.round)""")
+def e9_screen(spark, sf_dir):
+    candidate, incumbent = tallies_of(spark, sf_dir, CANDIDATE), tallies_of(spark, sf_dir)
+    return rounded(resampling.screen(candidate, incumbent, incumbent.filter("number % 5 = 0"), SCORING))
+
+
+REPLIES = Input("lineitem", {"repo": THREADS.columns["repo"], "number": "l_orderkey", "thread_id": THREADS.columns["thread_id"], "at": "concat(CAST(CAST(substr(CAST(l_shipdate AS STRING), 1, 4) AS INT) + l_linenumber % 2 AS STRING), substr(CAST(l_shipdate AS STRING), 5, 20))"})
+
+
+@query(f"""{ROUNDS}, o AS (SELECT DISTINCT repo, number, thread_id, path, created_at FROM {THREADS.sql} WHERE ({KIND_SQL}) <> 'bot')
+SELECT r.repo, r.number, r.round, o.thread_id, o.path, count(*) FILTER (c.at < r.started_at) AS shown FROM rounds r JOIN o ON r.repo = o.repo AND r.number = o.number
+AND r.started_at <> '' AND o.created_at < r.started_at LEFT JOIN {REPLIES.sql} c ON c.repo = o.repo AND c.number = o.number AND c.thread_id = o.thread_id GROUP BY ALL""")
+def j4_earlier_threads(spark, sf_dir):
+    return replay.earlier_threads(rounds_of(spark, sf_dir), THREADS.df(spark, sf_dir), REPLIES.df(spark, sf_dir))
+
+
+@query(f"""SELECT p.repo, p.number, coalesce(t.n, 0) AS threads FROM {PRS.sql} p LEFT JOIN (SELECT number, count(*) AS n FROM {THREADS.sql} GROUP BY number) t USING (number)""")
+def j7_pr_facts(spark, sf_dir):
+    return replay.pr_facts(PRS.df(spark, sf_dir), THREADS.df(spark, sf_dir), ["number"]).select("repo", "number", "threads")
+
+
+@query(f"SELECT t.number, thread_id, author, title, corpus FROM {THREADS.sql} t JOIN {PRS.sql} p USING (number)")
+def j7_thread_facts(spark, sf_dir):
+    found = replay.thread_facts(THREADS.df(spark, sf_dir), PRS.df(spark, sf_dir), ["number"], ["author", "title", "corpus"])
+    return found.select("number", "thread_id", "author", "title", "corpus")
+
+
+@query(f"""SELECT repo, number, CAST(((date_diff('day', DATE '1994-01-01', CAST(substr(created_at, 1, 10) AS DATE)) + 1) * 7 - 1) // 730 AS BIGINT) AS slice FROM {PRS.sql}
+WHERE substr(created_at, 1, 10) BETWEEN '1994-01-01' AND '1995-12-31'""")
+def p2_window_slices(spark, sf_dir):
+    first, last = F.lit("1994-01-01").cast("date"), F.lit("1995-12-31").cast("date")
+    day = F.substring("created_at", 1, 10).cast("date")
+    found = PRS.df(spark, sf_dir).withColumn("slice", replay.slices(first, last, day, 7))
+    return found.filter("slice IS NOT NULL").select("repo", "number", "slice")
+
+
+@query(f"""WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(labeler), item ORDER BY ord DESC) AS t FROM {LABELS.sql}) WHERE t = 1),
+c AS (SELECT item, verdict AS category, count(*) AS c FROM l WHERE verdict <> 'unsure' GROUP BY ALL), i AS (SELECT item, sum(c) AS n, sum(c * (c - 1)) AS agree FROM c GROUP BY item HAVING sum(c) >= 2),
+o AS (SELECT count(*) AS items, avg(agree / (n * (n - 1))) AS observed FROM i), s AS (SELECT category, sum(c) AS c FROM c WHERE item IN (SELECT item FROM i) GROUP BY category),
+e AS (SELECT sum(c * c) / (sum(c) * sum(c)) AS expected FROM s)
+SELECT 'fleiss' AS method, round((observed - expected) / (1 - expected), 6) AS kappa, (SELECT count(DISTINCT lower(labeler)) FROM l) AS labelers, items FROM o, e""")
+def a6_inter_annotator(spark, sf_dir):
+    return rounded(agreement.inter_annotator(LABELS.df(spark, sf_dir)))
+
+
+MARKED = Input("conversations", {
+    "conv_id": "conv_id", "turn": "turn",
+    "body": "CASE conv_id % 3 WHEN 0 THEN concat('> ✅ Resolved in c', CAST(turn AS STRING), chr(10), text, ' <!-- id ', chr(10), ' -->') WHEN 1 THEN concat('✅ Fixing ', text) ELSE text END",
+})
+
+
+BLIND = r"(?im)^[ \t>]*(?:✅|☑️|✔️)[ \t]*(?:\*\*)?(?:resolved|addressed|confirmed as addressed|fixed)\b[^\n]*(?:\n|\z)"
+
+
+@query(rf"""WITH o AS (SELECT *, regexp_replace(regexp_replace(body, '{BLIND}', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS out FROM {MARKED.sql})
+SELECT conv_id, turn, CASE WHEN out = body THEN body ELSE regexp_replace(regexp_replace(out, '\n[ \t]*\n(?:[ \t]*\n)+', chr(10) || chr(10), 'g'), '\A\s+|\s+\z', '', 'g') END AS body FROM o""")
+def t10_blind_comments(spark, sf_dir):
+    return MARKED.df(spark, sf_dir).withColumn("body", replay.blind_comment(F.col("body")))
+
+
+@query(f"""{JUDGED}, n AS (SELECT author_kind, judged_outcome, coalesce(polarity, 'undecided') AS polarity FROM g)
+SELECT author_kind, judged_outcome, polarity, count(*) AS threads, round(count(*) / (SELECT count(*) FROM n), 6) AS share FROM n GROUP BY ROLLUP (author_kind, judged_outcome, polarity)""")
+def d12_label_report(spark, sf_dir):
+    return rounded(reports.label_report(judged_of(spark, sf_dir)))
+
+
+@query(f"""{SCORED} SELECT count(*) AS findings, count(*) FILTER (credit = 'tp') AS tp, count(*) FILTER (credit = 'vu') AS vu, count(*) FILTER (credit = 'fp') AS fp,
+count(*) FILTER (credit = 'neutral') AS neutral, count(*) FILTER (credit = 'error') AS error, count(DISTINCT (repo, number)) AS prs, count(DISTINCT (repo, number, round)) AS rounds FROM scored""")
+def d10_summary_counts(spark, sf_dir):
+    return reports.summary_counts(scored_of(spark, sf_dir))

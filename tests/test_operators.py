@@ -129,3 +129,49 @@ def test_entry_and_every_query_has_sql(spark):
     from revtide.plans import queries
 
     assert set(queries.QUERIES) == set(queries.SQL)
+
+
+def test_bootstrap_of_equal_runs_is_zero_and_unpaired_rounds_fail(spark):
+    from revtide.operators import resampling
+    from revtide.params import ScoringParams
+
+    rows = [("r", n, 1, ("python", "go")[n % 2], float(n), 0.0, 1.0, 5.0) for n in range(8)]
+    run = spark.createDataFrame(rows, "repo string, number long, round int, language string, tp double, vu double, fp double, gold double")
+    found = resampling.paired_bootstrap(run, run, ScoringParams(), 20, "s").first()
+    assert (found["delta"], found["low"], found["high"], found["sd"], found["resamples"]) == (0.0, 0.0, 0.0, 0.0, 20)
+    with pytest.raises(Exception, match="same PR-rounds"):
+        resampling.paired_bootstrap(run, run.filter("number > 0"), ScoringParams(), 5, "s").collect()
+
+
+def test_bootstrap_interval_holds_the_gain(spark):
+    from revtide.operators import resampling
+    from revtide.params import ScoringParams
+
+    schema = "repo string, number long, round int, language string, tp double, vu double, fp double, gold double"
+    run = lambda extra: spark.createDataFrame([("r", n, 1, "python", n % 4 + extra, 0.0, 2.0, 6.0) for n in range(40)], schema)
+    found = resampling.paired_bootstrap(run(1.0), run(0.0), ScoringParams(), 100, "s").first()
+    assert 0 < found["low"] < found["delta"] < found["high"] and found["sd"] > 0
+
+
+def test_slices_cover_the_window_in_order(spark):
+    import datetime as dt
+
+    from revtide.operators import replay
+
+    first, n, days = dt.date(2024, 1, 1), 7, 31
+    dates = spark.createDataFrame([(first + dt.timedelta(days=i),) for i in range(-1, days + 1)], "day date")
+    last = F.lit(first + dt.timedelta(days=days - 1))
+    got = [r[0] for r in dates.orderBy("day").select(replay.slices(F.lit(first), last, F.col("day"), n)).collect()]
+    bounds = [i * days // n for i in range(n + 1)]
+    assert got == [None, *(max(k for k in range(n) if bounds[k] <= i) for i in range(days)), None]
+
+
+def test_blinding_and_inter_annotator(spark):
+    from revtide.operators import agreement, replay
+
+    rows = spark.createDataFrame([("✅ Resolved in a1\n\n\n\nKeep <!-- x\n --> this",), ("plain \n\n\n\n text",), (None,)], "t string")
+    assert [r[0] for r in rows.select(replay.blind_comment(F.col("t"))).collect()] == ["Keep  this", "plain \n\n\n\n text", None]
+    labels = spark.createDataFrame([(i, i, who, v) for i in range(4) for who, v in (("a", "valid"), ("B", "valid" if i else "not_valid"))], "item int, ord int, labeler string, verdict string")
+    two = agreement.inter_annotator(labels).first()
+    assert (two["method"], two["labelers"], two["items"]) == ("cohen", 2, 4)
+    assert agreement.inter_annotator(labels.filter("labeler = 'a'")).first()["method"] == ""
