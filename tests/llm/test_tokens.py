@@ -56,6 +56,18 @@ def check_packing(rows, docs, tokenizer):
     return len(fill)
 
 
+def test_cached_ids_equal_the_library(tokenizer):
+    """Special tokens, their spellings in other letters, combining marks and odd spaces, with a cache that overflows."""
+    rng = np.random.default_rng(7)
+    signs = [*"aAbHhJTz K'’sSt1 23.,<|>\t\n\x0b\x1c\x85\xa0éÉßİıΣς中\u0331\u030c\u212a", "<|endoftext|>", "<|STARTOFTEXT|>", "<|startoftext|>", "'ll"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(3000)] + [None, ""]
+    cache = bpe.IdCache(bpe.vocabulary(), 500)
+    for i in range(0, len(texts), 300):
+        some = texts[i : i + 300]
+        wanted = tokenizer.encode_batch([t or "" for t in some], add_special_tokens=False)
+        assert cache.encode(some) == [np.array(e.ids, "<u4").tobytes() for e in wanted]
+
+
 def test_packing_query(spark, tokenizer):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     rows = packing.op8_packing(spark, DATA).collect()
