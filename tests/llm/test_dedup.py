@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from revtide.llm import exact_dedup, simhash
+from revtide.llm import exact_dedup, shingles, simhash
 from revtide.llm.components import connected_components
 
 DATA = "/root/testdata/sf0.001"
@@ -117,3 +117,60 @@ def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 1000 + i) for i in range(50)] + [(5, 5), (200, 201)]
     roots = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert roots == {**{i: 0 for i in range(61)}, 100: 100, **{1000 + i: 100 for i in range(50)}, 200: 200, 201: 200}
+
+
+def brute_similar(docs):
+    """doc_id -> smallest doc_id reachable over 5-word shingle similarities of 0.8 or more."""
+    sets = {}
+    for d, text in docs:
+        words = (text or "").translate(LOWER).split()
+        sets[d] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    root = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {d: low if r == high else r for d, r in root.items()}
+    return root
+
+
+def edited_docs():
+    """Copies of 12 texts with 0 to 6 words changed, a chain of edits, texts that share a passage, short texts."""
+    rng = np.random.default_rng(8)
+    draw = lambda n: [f"w{i}" for i in rng.integers(0, 900, n)]
+    texts = []
+    for _ in range(12):
+        base = draw(int(rng.integers(30, 200)))
+        for edits in range(7):
+            copy = list(base)
+            for at in rng.integers(0, len(base), edits):
+                copy[at] = f"edit{rng.integers(0, 10**6)}"
+            texts.append(copy)
+    chain = draw(100)
+    for _ in range(15):
+        chain = chain[2:] + draw(2)
+        texts.append(chain)
+    passage = draw(100)
+    texts += [passage + draw(15 + i % 20) for i in range(40)] + [draw(i % 7) for i in range(14)] + [["Same", "few"], ["same", "few"]]
+    return [(int(i), " ".join(t)) for i, t in zip(rng.permutation(len(texts)) + 1, texts)]
+
+
+def test_pipeline_near_stage_equals_brute_force(spark, odd_docs):
+    import corpus_pipeline
+
+    docs = edited_docs()
+    want = brute_similar(docs)
+    frame = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in docs], odd_docs.schema)
+    groups = {r.node: r.root for r in shingles.near_duplicates(frame).collect()}
+    assert {d: groups.get(d, d) for d in want} == want and len(set(want.values())) < len(want) - 30
+    kept = corpus_pipeline.near(spark, frame, "")
+    assert kept.columns == frame.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+
+
+def test_near_stage_odd_rows(odd_docs, clashing_docs, no_docs):
+    for docs in (odd_docs, clashing_docs):
+        kept = shingles.drop_near_duplicates(docs)
+        assert kept.columns == docs.columns
+        assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 3, 4, 5, 6, 7, 10, 10, 11, 12]
+    assert shingles.drop_near_duplicates(no_docs).count() == 0
