@@ -3,11 +3,13 @@
 A text is cut into blocks as long as a template; two neighbouring blocks are a window, so every occurrence of the
 template lies within one. A window and a template that share a band of their MinHash signatures are compared exactly:
 a template is found where a window contains at least CONTAINED of its shingles. A template with fewer words than a
-shingle is one shingle of all its words.
+shingle is one shingle of all its words. Templates of fewer shingles than the smallest block have to be there whole, so
+they are looked up by a shingle's hash instead of their signature, which misses none.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,6 +24,8 @@ from .shared import small_batches, table
 SHINGLE, CONTAINED = 5, 0.8
 #: Bands of one row: a window of twice the template's size that contains 0.8 of it has a similarity of 0.8 / 2.2 or more.
 BANDS, ROWS = 16, 1
+#: Fewest shingles of a block; templates of fewer are looked up by hash.
+SMALLEST_BLOCK = 4
 #: Fixed texts of public license notices.
 TEMPLATES = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
@@ -40,6 +44,12 @@ def collision_probability(similarity: float) -> float:
     return 1 - (1 - similarity**ROWS) ** BANDS
 
 
+def window_similarity(size: int) -> float:
+    """Least similarity of a template of `size` shingles with a full window that contains CONTAINED of it."""
+    held = math.ceil(CONTAINED * size)
+    return held / (2 * max(size, SMALLEST_BLOCK) + size - held)
+
+
 def shingle_hashes(words: list[str], memo: dict[str, int]) -> np.ndarray:
     """64-bit hashes of the shingles, in order; of all words together if there are fewer."""
     codes = []
@@ -80,7 +90,7 @@ class Scanner:
         for name, text in sorted(templates.items()):
             words = WORD.findall(text.lower())
             hashes = shingle_hashes(words, self.memo)
-            self.templates.append((name, self.shingles(words), len(hashes), minima(hashes, np.array([0]))[:, 0]))
+            self.templates.append((name, self.shingles(words), len(hashes), minima(hashes, np.array([0]))[:, 0], hashes[0]))
 
     @staticmethod
     def shingles(words: list[str]) -> set[tuple[str, ...]]:
@@ -95,20 +105,26 @@ class Scanner:
         if not full:
             return found
         flat = np.concatenate([hashes[i] for i in full])
-        for size in sorted({n for _, _, n, _ in self.templates}):
-            block = max(size, 4)
+        for size in sorted({n for _, _, n, _, _ in self.templates}):
+            block = max(size, SMALLEST_BLOCK)
             starts = [np.arange(0, len(hashes[i]), block) for i in full]
             owner = np.repeat(full, [len(s) for s in starts])
             inside = np.concatenate(starts)
             base = np.repeat(np.cumsum([0] + [len(hashes[i]) for i in full[:-1]]), [len(s) for s in starts])
-            least = minima(flat, base + inside)
             pair = np.r_[owner[1:] == owner[:-1], False]
-            window = least.copy()
-            window[:, :-1][:, pair[:-1]] = np.minimum(least[:, :-1], least[:, 1:])[:, pair[:-1]]
-            for name, shingles, n, signature in self.templates:
+            if size >= SMALLEST_BLOCK:
+                least = minima(flat, base + inside)
+                window = least.copy()
+                window[:, :-1][:, pair[:-1]] = np.minimum(least[:, :-1], least[:, 1:])[:, pair[:-1]]
+            for name, shingles, n, signature, one in self.templates:
                 if n != size:
                     continue
-                for b in np.flatnonzero((window == signature[:, None]).any(axis=0)).tolist():
+                if size < SMALLEST_BLOCK:
+                    own = np.logical_or.reduceat(flat == one, base + inside)
+                    near = own | pair & np.r_[own[1:], False]
+                else:
+                    near = (window == signature[:, None]).any(axis=0)
+                for b in np.flatnonzero(near).tolist():
                     i, at = int(owner[b]), int(inside[b])
                     part = words[i][at : at + 2 * block + SHINGLE - 1]
                     hits = [k for k in range(max(1, len(part) - SHINGLE + 1)) if tuple(part[k : k + SHINGLE]) in shingles]

@@ -235,3 +235,23 @@ def test_pipeline_stages(spark):
         before = docs.count()
     rows = corpus_pipeline.run(spark, DATA).collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def missed_licenses(templates):
+    """Names of templates that a scan misses at some place of a text, once for each place."""
+    scanner, missed = licenses.Scanner(templates), []
+    for words in ([f"w{i}" for i in range(40)], [f"other{i * 7 % 83}" for i in range(60)]):
+        for name, template in templates.items():
+            found = scanner.scan([" ".join([*words[:i], template, *words[i:]]) for i in range(len(words))])
+            missed += [name for i, hits in enumerate(found) if (name, i) not in {(x[0], x[1]) for x in hits}]
+    return missed
+
+
+def test_every_license_is_found_at_every_place():
+    assert missed_licenses(licenses.TEMPLATES) == []
+    assert missed_licenses({f"line-{i}": f"Released under the Licence number{i}" for i in range(60)}) == []
+
+
+def test_collision_probability_of_real_windows():
+    sizes = [n for _, _, n, *_ in licenses.Scanner(licenses.TEMPLATES).templates if n >= licenses.SMALLEST_BLOCK]
+    assert all(licenses.collision_probability(licenses.window_similarity(n)) > 0.99 for n in sizes)
