@@ -3,8 +3,9 @@
 Codebooks of 16 centres for each pair of dimensions are fitted on a bounded sample; every row is then encoded. The
 loss of a code weighs the residual parallel to the vector ETA times as much as the rest, because that part moves large
 inner products most. Rows and queries are dealt into blocks; where a block of queries meets a block of rows, a table
-of inner products with all centres is summed over the rows' codes, the best SCANNED rows are scored exactly in double
-precision, and the best of each block compete in the end.
+of inner products with all centres is summed over the rows' codes, the best SCANNED vectors are scored exactly in double
+precision, and the best of each block compete in the end. Equal vectors of a block are scanned and scored once and
+stand for all their ids; every vector whose sum equals that of the last of the SCANNED is scored too.
 """
 
 from __future__ import annotations
@@ -88,6 +89,22 @@ def scan(queries: np.ndarray, packed: np.ndarray, books: np.ndarray) -> Iterator
         yield total
 
 
+def distinct_vectors(base: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First row of each distinct vector, the ids of its smallest `most` rows one vector after the other, and how many."""
+    rows = np.ascontiguousarray(base).view(np.dtype((np.void, base.dtype.itemsize * base.shape[1]))).ravel()
+    _, first, group = np.unique(rows, return_index=True, return_inverse=True)
+    members = pd.DataFrame({"group": group.ravel(), "id": ids}).drop_duplicates().sort_values(["group", "id"])
+    members = members.groupby("group").head(most)
+    return first, members["id"].to_numpy(), np.bincount(members["group"], minlength=len(first))
+
+
+def shortlist(near: np.ndarray, scanned: int) -> np.ndarray:
+    """Places of the largest `scanned` values and of all that tie with the last of them."""
+    if len(near) <= scanned:
+        return np.arange(len(near))
+    return np.flatnonzero(near >= np.partition(near, len(near) - scanned)[len(near) - scanned])
+
+
 def search(vectors: DataFrame, is_query, k: int = NEAREST, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score) of the k rows with the largest inner product, for rows where is_query holds.
 
@@ -129,16 +146,19 @@ def search(vectors: DataFrame, is_query, k: int = NEAREST, id_col: str = "vec_id
         parts = []
         if len(left) and len(right):
             base = np.stack(left["_v"].to_numpy())
-            ids = left["_id"].to_numpy()
-            packed = np.ascontiguousarray(np.frombuffer(b"".join(left["_code"]), np.uint8).reshape(len(left), -1).T)
+            first, ids, sizes = distinct_vectors(base, left["_id"].to_numpy(), k + 1)
+            base, ends = base[first], np.cumsum(sizes)
+            packed = np.ascontiguousarray(np.frombuffer(b"".join(left["_code"]), np.uint8).reshape(len(left), -1)[first].T)
             ask = np.stack(right["_v"].to_numpy())
             for i, near in enumerate(scan(ask, packed, shared.value)):
                 own = right["_id"].iloc[i]
-                best = np.argpartition(-near, SCANNED)[:SCANNED] if len(near) > SCANNED else np.arange(len(near))
-                best = best[ids[best] != own]
-                exact = (base[best] * ask[i]).sum(axis=1)
-                first = np.lexsort((ids[best], -exact))
-                found = pd.DataFrame({"query_id": own, id_col: ids[best][first], "score": exact[first]})
+                best = shortlist(near, SCANNED)
+                exact = np.repeat((base[best] * ask[i]).sum(axis=1), sizes[best])
+                inner = np.arange(len(exact)) - np.repeat(np.cumsum(sizes[best]) - sizes[best], sizes[best])
+                member = ids[np.repeat(ends[best] - sizes[best], sizes[best]) + inner]
+                exact, member = exact[member != own], member[member != own]
+                order = np.lexsort((member, -exact))
+                found = pd.DataFrame({"query_id": own, id_col: member[order], "score": exact[order]})
                 parts.append(found.drop_duplicates().head(k))
         return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], id_col: [], "score": []}).astype({"query_id": ids_type, id_col: ids_type})
 

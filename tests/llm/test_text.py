@@ -255,3 +255,17 @@ def test_every_license_is_found_at_every_place():
 def test_collision_probability_of_real_windows():
     sizes = [n for _, _, n, *_ in licenses.Scanner(licenses.TEMPLATES).templates if n >= licenses.SMALLEST_BLOCK]
     assert all(licenses.collision_probability(licenses.window_similarity(n)) > 0.99 for n in sizes)
+
+
+def test_neighbours_with_many_equal_vectors(spark):
+    rng = np.random.default_rng(4)
+    v = np.round(rng.normal(size=(3_600, 8)), 3)
+    v[rng.permutation(len(v))[:1_200]] = v[0]
+    ids = rng.permutation(len(v)) + 1
+    rows = [(int(i), x.tolist()) for i, x in zip(ids, v)]
+    asked = set(ids[:8].tolist())
+    found = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i.isin(*asked)).collect()
+    for query in asked:
+        scores = (v * v[ids == query]).sum(axis=1)
+        want = [int(i) for _, i in sorted(zip(-scores, ids)) if i != query][:20]
+        assert [r.vec_id for r in sorted((r for r in found if r.query_id == query), key=lambda r: r["rank"])] == want
