@@ -1,33 +1,42 @@
 """BPE encoding and decoding through a table of distinct words.
 
-White space always separates tokens of this vocabulary's pre-tokenizer, so a text's ids are the ids of its words (runs
-without ASCII white space) one after the other. Spark splits all texts and counts the distinct words. The most frequent
-of them, at most HEAD_WORDS, are encoded once, their ids joined with the vocabulary's pieces to decode them, and the
-resulting table, which has a fixed size bound, is broadcast. Every document then takes its words' ids by position.
-Words beyond the table are encoded once a batch, by the same tokenizer, so that no word is lost.
+White space always separates tokens of this vocabulary's pre-tokenizer, and so does the start of the signs that end a
+word, so a text's ids are the ids of its words one after the other. A pass over the texts splits them. It writes a text
+as the numbers of its words, and each distinct word of a chunk of texts once, with its number in that chunk. The
+distinct words of all chunks are the word table: each is encoded once and decoded through a join of its ids with the
+vocabulary's pieces. The table's rows go back to the chunks by a join on the word, and in each chunk the ids reach
+their places in the texts by the words' numbers.
+
+Words are joined once a chunk and not once an occurrence, so no key is hot. The numbered texts are written in buckets
+of chunks and don't move again. A sample of documents names words so frequent that nearly every chunk has them: they
+have fixed numbers, and their rows of the word table are broadcast. Which words those are changes no result.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import uuid
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches, stage, table
+from .shared import lucky_ids, shared_folder, small_batches, stage, table
 
-HEAD_WORDS = 200_000
-#: Distinct words a task counts before it hands its counts on; words a worker remembers besides the table.
-COUNTED, REMEMBERED = 200_000, 100_000
-WORD = re.compile(r"[^ \t-\r]+")
+#: Documents (about) that name the frequent words, and how many of those are broadcast at most.
+SAMPLE_DOCS, HEAD_WORDS = 5_000, 100_000
+#: A chunk of texts ends after so many words (a text isn't cut).
+CHUNK_WORDS = 5_000_000
+#: Buckets of the numbered texts for each partition of the input, and at most.
+BUCKETS_PER_PARTITION, MOST_BUCKETS = 4, 20_000
 
 
 def vocabulary() -> str:
@@ -46,62 +55,6 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) over all texts; tasks hand on partial counts."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
-
-        def so_far() -> pd.DataFrame:
-            return pd.DataFrame({"word": pd.Series(list(counts), dtype=object), "n": list(counts.values())})
-
-        for batch in batches:
-            for text in batch["t"]:
-                if text is not None:
-                    counts.update(WORD.findall(text))
-                if len(counts) > COUNTED:
-                    yield so_far()
-                    counts.clear()
-        if counts:
-            yield so_far()
-
-    parts = docs.select(F.col(text_col).alias("t")).mapInPandas(count, "word string, n long")
-    return parts.groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def most_frequent(counts: DataFrame, most: int, by: str = "n") -> DataFrame:
-    """The rows of the highest counts, whole ties only, at most `most` of them: a size that is proven before it's used."""
-    spectrum = counts.groupBy(F.least(F.col(by), F.lit(1_000_000)).alias("n")).count().collect()
-    least, total = 1_000_001, 0
-    for n, rows in sorted(map(tuple, spectrum), reverse=True):
-        if total + rows > most:
-            break
-        least, total = n, total + rows
-    return counts.filter(F.col(by) >= least)
-
-
-class Words:
-    """Ids (little-endian unsigned 32-bit) and decoded text of words, by the broadcast table or the tokenizer."""
-
-    def __init__(self, path: str, known: dict[str, tuple[bytes, str]] | None = None, most: int = REMEMBERED):
-        self.tokenizer, self.known, self.rest, self.most = load_tokenizer(path), known or {}, {}, most
-
-    def encode(self, words: list[str]) -> list[tuple[bytes, str]]:
-        known, rest = self.known, self.rest
-        try:
-            return [known.get(w) or rest[w] for w in words]
-        except KeyError:
-            missing = list({w for w in words if w not in known and w not in rest})
-        if len(rest) + len(missing) > self.most:
-            rest.clear()
-            missing = list({w for w in words if w not in known})
-        for i in range(0, len(missing), 10_000):
-            part = missing[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                rest[w] = (np.array(e.ids, "<u4").tobytes(), " ".join(e.tokens))
-        return [known.get(w) or rest[w] for w in words]
-
-
 #: A word, apart from the signs that end it: the pre-tokenizer separates them too. Else what white space separates.
 PART = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[.,;:!?%*#$&]++(?:[ \t-\r]|\Z))|[^ \t-\r]+")
 
@@ -162,64 +115,151 @@ def worker_cache(path: str, most: int) -> IdCache:
     return IdCache(path, most)
 
 
-def head_table(docs: DataFrame, path: str, text_col: str = "text", most: int = HEAD_WORDS) -> DataFrame:
-    """(word, ids, decoded) of the most frequent words: encoded once each, decoded through a join of ids and pieces."""
-    spark = docs.sparkSession
+def pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(id, piece): the vocabulary, whose size is fixed."""
+    rows = sorted((i, p) for p, i in load_tokenizer(path).get_vocab(with_added_tokens=True).items())
+    return spark.createDataFrame(pd.DataFrame(rows, columns=["id", "piece"]), "id int, piece string")
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = load_tokenizer(path)
+
+def word_table(words: DataFrame, path: str) -> DataFrame:
+    """words (word), distinct -> (word, ids, decoded): encoded once each, decoded by joining their ids with the pieces."""
+
+    @F.pandas_udf("array<int>")
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokenizer = IdCache(path, 0)
+        for some in batches:
+            ids = tokenizer.encoded(some.tolist())
+            yield pd.Series([np.frombuffer(ids[w], "<u4").astype(np.int32) for w in some])
+
+    exploded = words.select("word", F.posexplode_outer(encoded("word")).alias("at", "id"))
+    joined = exploded.join(F.broadcast(pieces(words.sparkSession, path)), "id", "left")
+    parts = F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "id", "piece"))))
+    found = joined.groupBy("word").agg(parts.alias("parts"))
+    decoded = F.array_join(F.transform("parts", lambda x: x["piece"]), " ")
+    return found.select("word", F.transform("parts", lambda x: x["id"]).alias("ids"), decoded.alias("decoded"))
+
+
+class Head:
+    """The frequent words, numbered from 0, with their ids one after the other and their decoded texts."""
+
+    def __init__(self, words: list[str], ids: list[list[int]], decoded: list[str]):
+        self.number = {w: i for i, w in enumerate(words)}
+        self.lengths = np.array([len(x) for x in ids], np.int64)
+        self.ids = np.concatenate([np.array(x, np.int32) for x in ids]) if ids else np.zeros(0, np.int32)
+        self.decoded = decoded
+
+
+def frequent_words(docs: DataFrame, path: str, most: int = HEAD_WORDS) -> Head:
+    """The most frequent words of about SAMPLE_DOCS of docs (_text), at most `most` of them."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = tokenizer.encode_batch(batch["word"].tolist(), add_special_tokens=False)
-            yield pd.DataFrame({"word": batch["word"], "ids": [e.ids for e in found]})
+            found = [w for text in batch["_text"] if text for w in PART.findall(plain_lower(text))]
+            for i in range(0, len(found), 50_000):
+                yield pd.DataFrame({"word": pd.Series(found[i : i + 50_000], dtype=object)})
 
-    counts = stage(word_counts(docs, text_col))
-    words = most_frequent(counts, most).select("word").mapInPandas(encode, "word string, ids array<int>")
-    decoded = decode(words.filter("size(ids) > 0"), path, "word", "ids")
-    return words.join(decoded, "word", "left").select("word", "ids", F.coalesce("decoded", F.lit("")).alias("decoded"))
+    counts = lucky_ids(docs, SAMPLE_DOCS, "_text").mapInPandas(split, "word string").groupBy("word").count()
+    words = counts.orderBy(F.desc("count"), "word").limit(most).select("word")
+    found = word_table(words, path).toArrow().to_pydict()
+    return Head(found["word"], found["ids"], found["decoded"])
 
 
-def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """(id, piece): the vocabulary, whose size is fixed."""
-    rows = sorted((i, p) for p, i in load_tokenizer(path).get_vocab(with_added_tokens=True).items())
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["id", "piece"]), "id int, piece string")
+def numbered(docs: DataFrame, head, keep: list[str]) -> DataFrame:
+    """Rows of two kinds by _chunk: keep and the _numbers of a text's words, or a _word with its _number in the chunk."""
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = head.value.number
+        first, chunk, words = TaskContext.get().partitionId() << 24, 0, 0
+        known = dict(frequent)
 
-def decode(rows: DataFrame, path: str, key: str, ids_col: str = "ids") -> DataFrame:
-    """(key, decoded): the pieces of each row's ids by position, joined by one space. Ids without a piece give none."""
-    exploded = rows.select(key, F.posexplode(ids_col).alias("_at", "id"))
-    joined = exploded.join(F.broadcast(pieces(rows.sparkSession, path)), "id")
-    parts = F.array_sort(F.collect_list(F.struct("_at", "piece")))
-    return joined.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["piece"]), " ").alias("decoded"))
+        def new_words() -> Iterator[pa.RecordBatch]:
+            tail = list(islice(known, len(frequent), None))
+            for i in range(0, len(tail), 20_000):
+                some = tail[i : i + 20_000]
+                at = pa.array(range(len(frequent) + i, len(frequent) + i + len(some)), pa.int32())
+                yield out([None] * len(keep), len(some), None, at, pa.array(some, pa.string()))
 
+        def out(kept, n, numbers, at, word) -> pa.RecordBatch:
+            columns = [pa.nulls(n, kind) if x is None else x for x, kind in zip([*kept, numbers, at, word], kinds)]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, first + chunk)), *columns], ["_chunk", *names])
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", most: int = HEAD_WORDS) -> DataFrame:
-    """docs with ids (array of int) and decoded (string) of the whole text.
+        for batch in batches:
+            kinds = [*(batch.column(c).type for c in keep), pa.binary(), pa.int32(), pa.string()]
+            texts = []
+            for text in batch.column("_text").to_pylist():
+                parts = PART.findall(plain_lower(text or ""))
+                found = list(map(known.get, parts))
+                if None in found:
+                    for i, x in enumerate(found):
+                        if x is None:
+                            found[i] = known.setdefault(parts[i], len(known))
+                texts.append(array("I", found).tobytes())
+                words += len(found)
+            yield out([batch.column(c) for c in keep], len(texts), pa.array(texts, pa.binary()), None, None)
+            if words > chunk_words:
+                yield from new_words()
+                chunk, words, known = chunk + 1, 0, dict(frequent)
+        if words:
+            yield from new_words()
+
+    names, chunk_words = [*keep, "_numbers", "_number", "_word"], CHUNK_WORDS
+    kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return docs.select(*keep, "_text").mapInArrow(split, f"_chunk long, {kept}_numbers binary, _number int, _word string")
+
+
+def bucketed(rows: DataFrame, key: str, buckets: int) -> DataFrame:
+    """rows, written to the shared folder in buckets of key: what is grouped by key later doesn't move."""
+    spark, name = rows.sparkSession, f"buckets_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    rows.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
+def encode(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The keep columns of docs (all, if not given) with ids (array of int) and decoded (string) of the whole text.
 
     As the tokenizers library gives them without special tokens, truncation or padding. A null or empty text has no
-    ids. Columns of docs named ids or decoded are replaced; rows may repeat; an empty table gives no rows.
+    ids. Columns of docs named ids or decoded are replaced; rows may repeat and ids may be null; other columns may have
+    any name; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    head = head_table(docs, path, text_col, most).toArrow().to_pydict()
-    known = {w: (np.array(i, "<u4").tobytes(), d) for w, i, d in zip(head["word"], head["ids"], head["decoded"])}
-    shared = spark.sparkContext.broadcast(known)
-
-    @F.pandas_udf("ids array<int>, decoded string")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        words = Words(path, shared.value)
-        for texts in batches:
-            ids, decoded = [], []
-            for text in texts:
-                found = words.encode(WORD.findall(text or ""))
-                ids.append(np.frombuffer(b"".join([x[0] for x in found]), "<u4").astype(np.int32))
-                decoded.append(" ".join([x[1] for x in found if x[1]]))
-            yield pd.DataFrame({"ids": ids, "decoded": decoded})
-
-    return docs.drop("ids", "decoded").withColumn("_bpe", of(text_col)).select("*", "_bpe.*").drop("_bpe")
+    kept = [c for c in keep or docs.columns if c.lower() not in ("ids", "decoded")]
+    plain = [f"_k{i}" for i in range(len(kept))]  # own names, so that none clashes
+    rows = docs.select(*(F.col(f"`{c}`").alias(p) for c, p in zip(kept, plain)), F.col(text_col).alias("_text"))
+    head = spark.sparkContext.broadcast(frequent_words(rows, path, HEAD_WORDS))
+    buckets = min(MOST_BUCKETS, BUCKETS_PER_PARTITION * max(1, rows.rdd.getNumPartitions()))
+    chunks = bucketed(numbered(rows, head, plain), "_chunk", buckets)
+    words = chunks.filter("_word IS NOT NULL").select(F.col("_chunk").alias("_of"), "_number", F.col("_word").alias("word")).repartition("word")
+    found = words.join(word_table(words.select("word").distinct(), path), "word").select("_of", "_number", "ids", "decoded")
+
+    def assemble(texts: pa.Table, tail: pa.Table) -> pa.Table:
+        h, order = head.value, np.argsort(tail["_number"].to_numpy())
+        lists = tail["ids"].combine_chunks().take(pa.array(order)) if len(order) else pa.array([], pa.list_(pa.int32()))
+        lengths = np.concatenate([h.lengths, np.diff(lists.offsets.to_numpy())])
+        flat = np.concatenate([h.ids, lists.flatten().to_numpy()])
+        decoded = np.array([*h.decoded, *tail["decoded"].take(pa.array(order)).to_pylist()], object)
+        starts = np.cumsum(lengths) - lengths
+        raw = texts["_numbers"].to_pylist()
+        numbers = np.frombuffer(b"".join(raw), "<u4")
+        ends = np.cumsum([len(x) // 4 for x in raw])
+        own = lengths[numbers]
+        before = np.concatenate([[0], np.cumsum(own)])
+        ids = flat[np.repeat(starts[numbers] - before[:-1], own) + np.arange(before[-1])]
+        offsets = np.concatenate([[0], before[ends]]).astype(np.int32)
+        said = [" ".join(filter(None, x)) for x in np.split(decoded[numbers], ends[:-1])]
+        result = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32))), pa.array(said, pa.string())]
+        return pa.Table.from_arrays([*(texts[p].combine_chunks() for p in plain), *result], [*plain, "ids", "decoded"])
+
+    kinds = ", ".join(f"`{p}` {rows.schema[p].dataType.simpleString()}" for p in plain)
+    texts = chunks.filter("_numbers IS NOT NULL").select("_chunk", *plain, "_numbers")
+    grouped = texts.groupBy("_chunk").cogroup(found.groupBy("_of"))
+    joined = grouped.applyInArrow(assemble, f"{kinds}, ids array<int>, decoded string")
+    return joined.select(*(F.col(p).alias(c) for c, p in zip(kept, plain)), "ids", "decoded")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    found = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
+    found = encode(table(spark, sf_dir, "documents"), vocabulary(), keep=["doc_id"])
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

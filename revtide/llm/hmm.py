@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import most_frequent
+from .shared import most_frequent
 from .shared import id_remainder, small_batches, stage, table
 
 #: States; passes over all training texts; symbols of words; words whose counts are broadcast. All are fixed bounds.

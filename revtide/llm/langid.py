@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import most_frequent
+from .shared import most_frequent
 from .shared import id_remainder, small_batches, stage, table
 
 #: Bounds of the model: sampled documents (about), words, n-grams, longest n-gram.

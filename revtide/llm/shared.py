@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,13 +24,16 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
-    context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    """The folder that driver and executors share, set as spark.checkpoint.dir or by setCheckpointDir."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    import tempfile
+
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))  # one machine, as in tests
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -66,6 +68,33 @@ def attach(rows: DataFrame, found: DataFrame, keys: list[str], salt_col: str) ->
     return rows.join(leaves, [*keys, salt_col])
 
 
+def lucky_ids(rows: DataFrame, about: int, *cols: str) -> DataFrame:
+    """About so many of rows, chosen by a hash of cols; all if they are no more. The share is exact at any size."""
+    share = min(1.0, about / max(1, rows.count()))
+    return rows.filter(F.xxhash64(F.lit("sample"), *cols).cast("double") / 2.0**64 + 0.5 <= share)
+
+
+def most_frequent(counts: DataFrame, most: int, key: str, by: str = "n") -> DataFrame:
+    """Rows of the highest counts, never more than `most`: levels of counts, and of the level that is cut a part by hash.
+
+    Two small aggregations find the cut (under 1,000 and under 5,000 rows), so that the bound holds before it's used.
+    """
+    level, part = F.floor(F.log2(F.col(by)) * 8).cast("int"), F.pmod(F.xxhash64(key), F.lit(4096)).cast("int")
+    cut, room = -1, most
+    for at, rows in sorted(map(tuple, counts.groupBy(level).count().collect()), reverse=True):
+        if rows > room:
+            cut = at
+            break
+        room -= rows
+    parts = 0
+    if cut >= 0:
+        for at, rows in sorted(map(tuple, counts.filter(level == cut).groupBy(part).count().collect())):
+            if rows > room:
+                break
+            parts, room = at + 1, room - rows
+    return counts.filter((level > cut) | ((level == cut) & (part < parts)))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores before it until no column of df is called so."""
     taken = {c.lower() for c in df.columns}

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from revtide.llm import bpe, langid, packing
+from revtide.llm.shared import most_frequent
 
 DATA = "/root/testdata/sf0.001"
 
@@ -26,13 +27,35 @@ def test_bpe_query_equals_the_library(spark, tokenizer):
         assert r.decoded_sha256 == hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("most", [0, 3, 1000])
-def test_bpe_odd_rows_with_any_table_size(odd_docs, clashing_docs, no_docs, tokenizer, most):
+@pytest.mark.parametrize("most, chunk", [(0, 1), (3, 40_000), (1000, 10**9)])
+def test_bpe_odd_rows_with_any_table_size(odd_docs, clashing_docs, no_docs, tokenizer, most, chunk, monkeypatch):
+    monkeypatch.setattr(bpe, "HEAD_WORDS", most)
+    monkeypatch.setattr(bpe, "CHUNK_WORDS", chunk)
     for docs in (odd_docs, clashing_docs):
-        for r in bpe.encode(docs, bpe.vocabulary(), most=most).collect():
+        got = bpe.encode(docs, bpe.vocabulary()).collect()
+        assert sorted(str(r.doc_id) for r in got) == sorted(str(r.doc_id) for r in docs.collect())
+        assert set(got[0].asDict()) == {*docs.columns, "ids", "decoded"}
+        for r in got:
             ids = tokenizer.encode(r.text or "", add_special_tokens=False).ids
             assert r.ids == ids and r.decoded == tokenizer.decode(ids, skip_special_tokens=False)
-    assert bpe.encode(no_docs, bpe.vocabulary(), most=most).count() == 0
+    assert bpe.encode(no_docs, bpe.vocabulary()).count() == 0
+
+
+def test_each_word_is_encoded_once_and_decoded_by_its_pieces(spark, tokenizer):
+    words = ["hello", "hello,", "zaïre", "<|endoftext|>x", "\u200b", "漢字"]
+    rows = bpe.word_table(spark.createDataFrame([(w,) for w in words], "word string"), bpe.vocabulary()).collect()
+    assert sorted(r.word for r in rows) == sorted(words)
+    for r in rows:
+        ids = tokenizer.encode(r.word, add_special_tokens=False).ids
+        assert r.ids == ids and r.decoded == tokenizer.decode(ids, skip_special_tokens=False)
+
+
+def test_most_frequent_never_exceeds_its_bound(spark):
+    counts = spark.createDataFrame([(f"w{i}", 2_000_000 if i < 50 else i) for i in range(3000)], "word string, n long")
+    for most in (0, 3, 49, 51, 700, 10_000):
+        got = [r.n for r in most_frequent(counts, most, "word").collect()]
+        assert len(got) <= most and (most < 3000 or len(got) == 3000)
+        assert most < 51 or min(most, 3000) - len(got) < 20 + most / 5
 
 
 def check_packing(rows, docs, tokenizer):
