@@ -2,7 +2,7 @@
 
 Training texts give every word's count. The most frequent words, at most EMITTED, are symbols of their own; the others
 share one symbol for each of a few spellings, within which a word keeps its smoothed share of counts, so that the
-probabilities of all words add up to one. Baum-Welch runs over all training sequences: a partition adds up its expected
+probabilities of all words add up to one. Texts are encoded as symbols once. Baum-Welch runs over all training sequences: a partition adds up its expected
 counts, Spark adds those of the partitions, and the next parameters follow. Scoring is the scaled forward recursion
 over a whole text, plus the shares of its rarer words, which reach the text's row through a join on the word.
 """
@@ -11,14 +11,15 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import most_frequent
-from .shared import id_remainder, small_batches, stage, table
+from .shared import id_remainder, most_frequent, small_batches, stage, table
 
 #: States; passes over all training texts; symbols of words; words whose counts are broadcast. All are fixed bounds.
 STATES, PASSES, EMITTED, HEAD_WORDS = 8, 2, 20_000, 150_000
@@ -26,7 +27,8 @@ SMOOTH = 0.1
 #: Spellings that rarer words are told apart by: ASCII or not, ended by a sign or not. Then the end of a text.
 SHAPES = 4
 COUNTED = 200_000
-#: For training a text is cut into parts of so many tokens (scoring never cuts); tokens worked on at once.
+#: For training a text is cut into parts of so many tokens, so that many are worked on together: of PART moves one isn't
+#: counted, and a part that isn't its text's first begins in the settled shares of states. Scoring never cuts. Tokens at once.
 PART, AT_ONCE = 512, 200_000
 
 
@@ -62,59 +64,60 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 class Head:
-    """Symbols and counts of the most frequent words; totals of all."""
+    """Numbers of the most frequent words by falling count, those under `emitted` symbols of their own; totals of all.
+
+    By number, and last for a word without one: its symbol, what it adds to the base score, and what it adds to the
+    model's score besides its symbol's probability (its share among the words of its spelling).
+    """
 
     def __init__(self, words: list[bytes], counts: np.ndarray, emitted: int, shapes: np.ndarray, total: int, distinct: int, ends: int):
         order = np.argsort(-counts, kind="stable")
-        self.counts = {words[i]: int(counts[i]) for i in order}
-        self.symbol = {words[i]: k for k, i in enumerate(order[:emitted])}
-        self.words, self.total, self.distinct, self.ends = len(self.symbol), total, distinct, ends
+        self.number = {words[i]: k for k, i in enumerate(order)}
+        n, self.words = counts[order].astype(float), min(emitted, len(order))
+        self.total, self.distinct, self.ends = total, distinct, ends
         self.end = self.words + SHAPES
         self.symbols = self.end + 1
         self.base_norm = np.log10(total + SMOOTH * (distinct + 1))
-        #: smoothed mass of the words behind each shape's symbol, with one unseen word in each
-        taken = np.zeros((SHAPES, 2))
-        for w in self.symbol:
-            taken[shape(w)] += (self.counts[w], 1)
-        rest = np.maximum(shapes - taken, 0)
-        self.shape_mass = rest[:, 0] + SMOOTH * (rest[:, 1] + 1)
-        mass = np.array([self.counts[w] for w in self.symbol], float) + SMOOTH
-        self.unigram = np.r_[mass, self.shape_mass, ends + SMOOTH]
-
-
-def encode(docs: DataFrame, head: Head, text_col: str, keep: list[str]) -> DataFrame:
-    """keep, with each text's symbols, counts, what its known words add to the two scores, and its rarer words."""
-    shared = docs.sparkSession.sparkContext.broadcast(head)
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        spelling = np.array([shape(w) for w in self.number], np.int64)
+        #: smoothed mass of the words behind each spelling's symbol, with one unseen word in each
+        own = spelling[: self.words]
+        rest = np.maximum(shapes - np.stack([np.bincount(own, n[: self.words], SHAPES), np.bincount(own, minlength=SHAPES)], axis=1), 0)
+        mass = rest[:, 0] + SMOOTH * (rest[:, 1] + 1)
+        self.unigram = np.r_[n[: self.words] + SMOOTH, mass, ends + SMOOTH]
+        self.norm = np.log10(mass)
+        self.log = np.r_[np.log10(n + SMOOTH), 0.0]
+        self.symbol = np.r_[np.arange(self.words), self.words + spelling[self.words :], -1]
+        self.extra = np.r_[np.zeros(self.words), self.log[self.words : -1] - self.norm[spelling[self.words :]], 0.0]
+
+
+def encode(docs: DataFrame, head: Head) -> DataFrame:
+    """docs but for _text: each text's symbols, counts, what its words add to the two scores, and its rarer words."""
+    shared, keep = docs.sparkSession.sparkContext.broadcast(head), [c for c in docs.columns if c != "_text"]
+    names = [*keep, "symbols", "n_tokens", "n_known", "base", "extra", "rare", "times"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = shared.value
-        logs = {w: float(np.log10(c + SMOOTH)) for w, c in h.counts.items()}
-        norm = np.log10(h.shape_mass)
+        number, end = h.number.get, float(np.log10(h.ends + SMOOTH))
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("symbols", "n_tokens", "n_known", "base", "extra", "rare", "times")}
-            for text in batch["_text"]:
+            out: list[tuple] = []
+            for text in batch.column("_text").to_pylist():
                 words = tokens(text)
-                symbols = [h.symbol.get(w, -1) for w in words]
-                base, extra, known = float(np.log10(h.ends + SMOOTH)), 0.0, int(h.ends > 0)
+                at = np.fromiter(map(number, words, repeat(-1)), np.int64, len(words))
+                symbols, extra = np.append(h.symbol[at], h.end), float(h.extra[at].sum())
                 rare: Counter = Counter()
-                for i, w in enumerate(words):
-                    log = logs.get(w)
-                    if log is None:
-                        rare[w] += 1
-                    else:
-                        base, known = base + log, known + 1
-                    if symbols[i] < 0:
-                        s = shape(w)
-                        symbols[i] = h.words + s
-                        extra += (log or 0.0) - norm[s]
-                symbols.append(h.end)
-                for k, v in zip(out, (np.array(symbols, "<u2").tobytes(), len(symbols), known, base, extra, list(rare), list(rare.values()))):
-                    out[k].append(v)
-            yield pd.concat([batch[keep].reset_index(drop=True), pd.DataFrame(out)], axis=1)
-
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    schema = f"{kinds}, symbols binary, n_tokens long, n_known long, base double, extra double, rare array<binary>, times array<long>"
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInPandas(work, schema)
+                for i in np.flatnonzero(at < 0).tolist():
+                    s = shape(words[i])
+                    symbols[i], extra = h.words + s, extra - h.norm[s]
+                    rare[words[i]] += 1
+                known = len(words) - rare.total() + (h.ends > 0)
+                out.append((symbols.astype("<u2").tobytes(), len(symbols), known, end + float(h.log[at].sum()), extra, list(rare), list(rare.values())))
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*out), kinds)] if out else [pa.array([], kind) for kind in kinds]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], names)
+
+    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    schema = f"{kept}, symbols binary, n_tokens long, n_known long, base double, extra double, rare array<binary>, times array<long>"
+    return docs.mapInArrow(work, schema)
 
 
 class Parameters:
@@ -122,6 +125,9 @@ class Parameters:
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit
+        self.settled = start  # the share of each state far from the start
+        for _ in range(200):
+            self.settled = self.settled @ move
 
     @classmethod
     def initial(cls, unigram: np.ndarray, states: int) -> Parameters:
@@ -180,15 +186,19 @@ def log_likelihoods(sequences: list[np.ndarray], p: Parameters) -> np.ndarray:
     return out
 
 
-def expected_counts(sequences: list[np.ndarray], p: Parameters, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
-    """Forward and backward over the sequences; adds what they are expected to count."""
+def expected_counts(
+    sequences: list[np.ndarray], first: np.ndarray, p: Parameters, start: np.ndarray, move: np.ndarray, emit: np.ndarray
+) -> None:
+    """Forward and backward over the sequences; adds what they are expected to count. Only first ones count as starts."""
     for group in grouped(sequences):
+        begins = first[group]
+        begin = np.where(begins[:, None], p.start, p.settled)
         flat, alive = by_time([sequences[i] for i in group])
         alive, at = alive.tolist(), 0
         seen = p.emit[flat]
         alpha, scales, places = np.empty_like(seen), np.empty(len(flat)), []
         for t, n in enumerate(alive):
-            a = p.start * seen[:n] if t == 0 else (alpha[places[-1] : places[-1] + n] @ p.move) * seen[at : at + n]
+            a = begin * seen[:n] if t == 0 else (alpha[places[-1] : places[-1] + n] @ p.move) * seen[at : at + n]
             scale = a.sum(axis=1)
             alpha[at : at + n], scales[at : at + n] = a / scale[:, None], scale
             places.append(at)
@@ -202,7 +212,7 @@ def expected_counts(sequences: list[np.ndarray], p: Parameters, start: np.ndarra
             beta[:n] = ahead @ p.move.T
         alpha[: alive[0]] *= beta[: alive[0]]
         alpha /= alpha.sum(axis=1, keepdims=True)
-        start += alpha[: alive[0]].sum(axis=0)
+        start += alpha[: alive[0]][begins].sum(axis=0)
         for k in range(len(p.start)):
             emit[:, k] += np.bincount(flat, alpha[:, k], len(emit))
 
@@ -216,11 +226,12 @@ def baum_welch(encoded: DataFrame, p: Parameters, unigram: np.ndarray) -> Parame
         now = shared.value
         start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states))
         for batch in batches:
-            parts = []
+            parts, first = [], []
             for raw in batch["symbols"]:
                 whole = np.frombuffer(raw, "<u2").astype(np.int64)
                 parts += [whole[i : i + PART] for i in range(0, len(whole), PART)]
-            expected_counts(parts, now, start, move, emit)
+                first += [i == 0 for i in range(0, len(whole), PART)]
+            expected_counts(parts, np.array(first, bool), now, start, move, emit)
         values = np.r_[start, move.ravel(), emit.ravel()]
         used = np.flatnonzero(values)
         for i in range(0, len(used), 10_000):
@@ -233,37 +244,41 @@ def baum_welch(encoded: DataFrame, p: Parameters, unigram: np.ndarray) -> Parame
     return Parameters.estimated(start, move.reshape(states, states), emit.reshape(symbols, states), unigram)
 
 
-def score(docs: DataFrame, training: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """keep columns of docs (the texts to score) with n_tokens, n_known, train_tokens, base_score and score (log10).
+def score(docs: DataFrame, learn: Column, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """keep columns of docs with n_tokens, n_known, train_tokens, base_score and score (log10).
 
-    training: the texts to learn from. Null texts count as empty, which still have their end token. Rows may repeat and
-    ids may be null. With no training text every word is unknown; an empty table of docs gives no rows.
+    learn: which rows of docs the model learns from; all are scored. Null texts count as empty, which still have their
+    end token. Rows may repeat, ids may be null, other columns may have any name. With no row to learn from every word
+    is unknown; an empty table gives no rows.
     """
     keep = keep or ["doc_id"]
-    counts = stage(count_words(training, text_col))
-    ends = training.count()
+    plain = [f"_k{i}" for i in range(len(keep))]  # own names, so that none clashes
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("_row"), F.coalesce(learn, F.lit(False)).alias("_train"),
+        *(F.col(f"`{c}`").alias(k) for c, k in zip(keep, plain)), F.col(text_col).alias("_text"),
+    )
+    training = rows.filter("_train")
+    counts, ends = stage(count_words(training, "_text")), training.count()
     shapes = np.zeros((SHAPES, 2))
     for s, total, distinct in counts.groupBy("shape").agg(F.sum("c"), F.count("*")).collect():
         shapes[s] = total, distinct
-    top = most_frequent(counts, HEAD_WORDS, "c").select("word", "c").toArrow().to_pydict()
+    top = most_frequent(counts, HEAD_WORDS, "word", "c").select("word", "c").toArrow().to_pydict()
     total, distinct = int(shapes[:, 0].sum()) + ends, int(shapes[:, 1].sum()) + (ends > 0)
     head = Head(top["word"], np.array(top["c"], np.int64), EMITTED, shapes, total, distinct, ends)
 
-    train_mark = training.select(*keep, text_col, F.lit(True).alias("_train"))
-    encoded = stage(encode(train_mark, head, text_col, ["_train"]).select("symbols"))
+    encoded = stage(encode(rows, head))
     p = Parameters.initial(head.unigram, STATES)
     for _ in range(PASSES if ends else 0):
-        p = baum_welch(encoded, p, head.unigram)
+        p = baum_welch(encoded.filter("_train"), p, head.unigram)
 
-    scored = stage(_forward(encode(docs.withColumn("_row", F.monotonically_increasing_id()), head, text_col, ["_row", *keep]), p))
-    rare = scored.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("_row", F.col("x.rare").alias("word"), "x.times")
+    rare = encoded.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("_row", F.col("x.rare").alias("word"), "x.times")
     known = rare.join(counts.select("word", "c"), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     sums = known.groupBy("_row").agg(
         F.sum(F.col("times") * F.log10(F.col("c") + SMOOTH)).alias("_more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("_seen")
     )
     more = F.coalesce("_more", F.lit(0.0))
-    return scored.drop("rare", "times").join(sums, "_row", "left").select(
-        *keep, "n_tokens", (F.col("n_known") + F.coalesce("_seen", F.lit(0))).alias("n_known"),
+    return _forward(encoded.drop("rare", "times"), p).join(sums, "_row", "left").select(
+        *(F.col(k).alias(c) for c, k in zip(keep, plain)), "n_tokens", (F.col("n_known") + F.coalesce("_seen", F.lit(0))).alias("n_known"),
         F.lit(head.total).cast("long").alias("train_tokens"),
         (F.col("base") + more - F.col("n_tokens") * F.lit(float(head.base_norm))).alias("base_score"),
         (F.col("forward") + F.col("extra") + more).alias("score"),
@@ -282,5 +297,5 @@ def _forward(encoded: DataFrame, p: Parameters) -> DataFrame:
 
 def op10_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (id_remainder("doc_id", 10) == 0).alias("held_out"))
-    return score(docs, docs.filter("NOT held_out"), keep=["doc_id", "held_out"])
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", id_remainder("doc_id", 10) == 0)
+    return score(docs, ~F.col("held_out"), keep=["doc_id", "held_out"])

@@ -12,26 +12,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import most_frequent
-from .shared import id_remainder, small_batches, stage, table
+from .shared import free_name, id_remainder, lucky_ids, small_batches, stage, table
 
-#: Bounds of the model: sampled documents (about), words, n-grams, longest n-gram.
-SAMPLE_DOCS, MOST_WORDS, MOST_GRAMS, LONGEST = 6_000, 150_000, 100_000, 4
+#: Labelled documents (about) that the model is fitted on, which bounds it; longest n-gram; words a worker remembers.
+SAMPLE_DOCS, LONGEST, REMEMBERED = 6_000, 4, 50_000
 SMOOTH, UNKNOWN = 0.5, "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters and of other signs that count as word characters, such as superscript figures, which are no letters.
+RUN, LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
+
+
+def words_of(text: str | None) -> list[str]:
+    """The runs of letters of a text, in lower case."""
+    runs = RUN.findall((text or "").lower())
+    return runs if all(map(str.isalpha, runs)) else [w for r in runs for w in LETTERS.findall(r)]
 
 
 class Model:
-    """Log frequencies of words and n-grams per language; rows of `scores` belong to `words`."""
+    """Log frequencies of words and n-grams per language; rows of the scores belong to the words and n-grams."""
 
     def __init__(self, languages: list[str], words: pd.DataFrame, grams: pd.DataFrame):
         self.languages = languages
         self.words, self.scores = self._table(words)
-        grams_of, scores = self._table(grams)
-        self.grams = {g: scores[i] for g, i in grams_of.items()}
+        self.grams, self.gram_scores = self._table(grams)
         self.memo: dict[str, np.ndarray] = {}
 
     def _table(self, counts: pd.DataFrame) -> tuple[dict[str, int], np.ndarray]:
@@ -43,21 +49,23 @@ class Model:
         return keys, np.log(n / totals + SMOOTH / totals.max())  # unseen weighs the same in every language
 
     def backoff(self, word: str) -> np.ndarray:
+        """Mean of the known n-grams of the longest order that has any; the marks of a word's ends alone are none."""
         found = self.memo.get(word)
         if found is None:
-            if len(self.memo) > 200_000:
+            if len(self.memo) >= REMEMBERED:
                 self.memo.clear()
             found, padded = np.zeros(len(self.languages)), f"^{word}$"
             for size in range(LONGEST, 0, -1):
-                known = [g for i in range(len(padded) - size + 1) if (g := self.grams.get(padded[i : i + size])) is not None]
+                pieces = [padded[i : i + size] for i in range(len(padded) - size + 1)] if size > 1 else list(word)
+                known = [at for g in pieces if (at := self.grams.get(g)) is not None]
                 if known:
-                    found = np.mean(known, axis=0)
+                    found = self.gram_scores[known].mean(axis=0)
                     break
             self.memo[word] = found
         return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall((text or "").lower())
+        words = words_of(text)
         if not words or not self.languages:
             return UNKNOWN, 0.0
         ids = np.array([self.words.get(w, -1) for w in words])
@@ -70,27 +78,20 @@ class Model:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
-    """The model of docs with a language: about SAMPLE_DOCS of them, chosen by a hash of the id."""
+    """The model of docs with a language: about SAMPLE_DOCS of them, chosen by a hash of the id; all their words."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    share = min(1.0, SAMPLE_DOCS / max(1, known.count()))
-    chosen = F.pmod(F.xxhash64(F.lit("language sample"), id_col), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))
     words = F.split(F.lower(F.col(text_col)), r"[^\p{L}]+")
-    counts = known.filter(chosen).select(F.col(lang_col).alias("lang"), F.explode(words).alias("key")).filter("key <> ''")
+    counts = lucky_ids(known, SAMPLE_DOCS, id_col).select(F.col(lang_col).alias("lang"), F.explode(words).alias("key")).filter("key <> ''")
     counts = stage(counts.groupBy("lang", "key").agg(F.count("*").alias("n")))
     padded = F.concat(F.lit("^"), F.col("key"), F.lit("$"))
-    lengths = F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("key") + 2))
+    lengths = F.sequence(F.lit(2), F.least(F.lit(LONGEST), F.length("key") + 2))
     parts = F.transform(
         lengths, lambda k: F.transform(F.sequence(F.lit(1), F.length("key") + 3 - k), lambda i: F.substring(padded, i, k))
     )
-    grams = counts.select("lang", "n", F.explode(F.flatten(parts)).alias("key")).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    parts = F.concat(F.flatten(parts), F.filter(F.split("key", ""), lambda c: c != ""))
+    grams = counts.select("lang", "n", F.explode(parts).alias("key")).groupBy("lang", "key").agg(F.sum("n").alias("n"))
     languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
-    return Model(languages, _bounded(counts, MOST_WORDS), _bounded(stage(grams), MOST_GRAMS))
-
-
-def _bounded(counts: DataFrame, most: int) -> pd.DataFrame:
-    """(lang, key, n) of the most frequent keys, at most `most` of them."""
-    totals = counts.groupBy("key").agg(F.sum("n").alias("n"))
-    return counts.join(most_frequent(totals, most).select("key"), "key").select("lang", "key", "n").toPandas()
+    return Model(languages, counts.select("lang", "key", "n").toPandas(), grams.select("lang", "key", "n").toPandas())
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -106,8 +107,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         for texts in batches:
             yield pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    marked = docs.drop("lang_pred", "score").withColumn("_language", of(text_col))
-    return marked.select("*", "_language.*").drop("_language")
+    rest = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    found = free_name(docs, "_language")
+    marked = docs.select(*(f"`{c}`" for c in rest), of(text_col).alias(found))
+    return marked.select(*(f"`{c}`" for c in rest), f"{found}.lang_pred", f"{found}.score")
 
 
 def held_out() -> Column:

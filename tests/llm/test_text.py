@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from revtide.llm import hmm, html_text, licenses, neighbours, pii
 
@@ -135,13 +136,49 @@ def test_hmm_query_base_score(spark):
 
 
 def test_hmm_tables_of_any_size_agree_on_base(odd_docs, clashing_docs, no_docs, monkeypatch):
-    want = sorted(str((r.doc_id, r.n_known, round(r.base_score, 6))) for r in hmm.score(odd_docs, odd_docs).collect())
+    every, none = F.lit(True), F.lit(False)
+    want = sorted(str((r.doc_id, r.n_known, round(r.base_score, 6))) for r in hmm.score(odd_docs, every).collect())
     monkeypatch.setattr(hmm, "HEAD_WORDS", 3)
-    got = hmm.score(clashing_docs, odd_docs).collect()
+    got = hmm.score(clashing_docs.withColumns({c: F.lit(1) for c in ("_row", "_text", "_k0", "_train")}), every).collect()
     assert sorted(str((r.doc_id, r.n_known, round(r.base_score, 6))) for r in got) == want
     assert all(math.isfinite(r.score) for r in got)
-    assert hmm.score(no_docs, odd_docs).count() == 0
-    assert all(r.n_known == 0 and math.isfinite(r.score) for r in hmm.score(odd_docs, no_docs).collect())
+    assert hmm.score(no_docs, every).count() == 0
+    assert all(r.n_known == 0 and math.isfinite(r.score) for r in hmm.score(odd_docs, none).collect())
+
+
+def test_hmm_score_end_to_end(spark, monkeypatch):
+    """The score column against a forward recursion over word probabilities, with words of all kinds."""
+    monkeypatch.setattr(hmm, "HEAD_WORDS", 12)
+    monkeypatch.setattr(hmm, "EMITTED", 6)
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(12)] + ["É", "x!", "ö?"]
+    texts = [" ".join(rng.choice(vocabulary, 30, p=np.r_[np.full(12, 0.07), 0.08, 0.05, 0.03])) for _ in range(40)] + ["unseen w1", ""]
+    fitted = []
+    estimated = hmm.Parameters.estimated.__func__
+    monkeypatch.setattr(hmm.Parameters, "estimated", classmethod(lambda cls, *x: fitted.append(estimated(cls, *x)) or fitted[-1]))
+    heads = []
+    monkeypatch.setattr(hmm, "encode", lambda rows, head, of=hmm.encode: heads.append(head) or of(rows, head))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = hmm.score(docs, F.col("doc_id") % 4 != 0).collect()
+    counts = Counter(w for i, t in enumerate(texts) if i % 4 for w in hmm.tokens(t))
+    p, head = fitted[-1], heads[0]
+    own = [w for w, k in head.number.items() if k < head.words]
+    mass = np.zeros(hmm.SHAPES)
+    for s in range(hmm.SHAPES):
+        rest = [c for w, c in counts.items() if w not in own and hmm.shape(w) == s]
+        mass[s] = sum(rest) + hmm.SMOOTH * (len(rest) + 1)
+    for r in rows:
+        total, alpha = 0.0, None
+        for w in [*hmm.tokens(texts[r.doc_id]), None]:
+            if w is None:
+                seen = p.emit[head.end]
+            elif w in own:
+                seen = p.emit[head.number[w]]
+            else:
+                seen = p.emit[head.words + hmm.shape(w)] * (counts[w] + hmm.SMOOTH) / mass[hmm.shape(w)]
+            alpha = (p.start if alpha is None else alpha @ p.move) * seen
+            total, alpha = total + math.log10(alpha.sum()), alpha / alpha.sum()
+        assert math.isclose(r.score, total, rel_tol=1e-9)
 
 
 def brute_forward(s, p):
@@ -164,7 +201,7 @@ def test_forward_and_baum_welch():
         assert np.allclose(got, [brute_forward(s, p) for s in data])
         likelihood.append(got.sum())
         start, move, emit = np.zeros(3), np.zeros((3, 3)), np.zeros((12, 3))
-        hmm.expected_counts(data, p, start, move, emit)
+        hmm.expected_counts(data, np.ones(len(data), bool), p, start, move, emit)
         assert np.isclose(start.sum(), len(data)) and np.isclose(emit.sum(), sum(map(len, data)))
         assert np.isclose(move.sum(), sum(map(len, data)) - len(data))
         assert np.allclose(emit.sum(axis=1), np.bincount(np.concatenate(data), minlength=12))

@@ -4,9 +4,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import regex
 
 from revtide.llm import bpe, langid, packing
-from revtide.llm.shared import most_frequent
+from revtide.llm.shared import lucky_ids, most_frequent
 
 DATA = "/root/testdata/sf0.001"
 
@@ -149,3 +150,56 @@ def test_unseen_word_falls_back_to_shorter_ngrams(spark):
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.predict("kaste")[0] == "x" and model.predict("forest")[0] == "y"
     assert np.allclose(model.backoff("éé"), 0)
+
+
+def brute_language_model(rows):
+    """languages, log frequencies of words, log frequencies of n-grams."""
+    languages = sorted({lang for _, lang in rows})
+    words, grams = ({x: defaultdict(int) for x in languages} for _ in range(2))
+    for text, lang in rows:
+        for w in regex.findall(r"\p{L}+", text.lower()):
+            words[lang][w] += 1
+            padded = f"^{w}$"
+            for g in [*w, *(padded[i : i + k] for k in (2, 3, 4) for i in range(len(padded) - k + 1))]:
+                grams[lang][g] += 1
+
+    def logs(counts):
+        totals = {x: max(1, sum(c.values())) for x, c in counts.items()}
+        least = 0.5 / max(totals.values())
+        return {k: np.array([np.log(counts[x][k] / totals[x] + least) for x in languages]) for k in {k for c in counts.values() for k in c}}
+
+    return languages, logs(words), logs(grams)
+
+
+def brute_language(text, languages, words, grams):
+    total, found = np.zeros(len(languages)), regex.findall(r"\p{L}+", (text or "").lower())
+    for w in found:
+        if w in words:
+            total = total + words[w]
+            continue
+        padded = f"^{w}$"
+        for k in (4, 3, 2, 1):
+            known = [grams[g] for g in ([padded[i : i + k] for i in range(len(padded) - k + 1)] if k > 1 else w) if g in grams]
+            if known:
+                total = total + np.mean(known, axis=0)
+                break
+    odds = np.exp(total - total.max())
+    return (languages[int(odds.argmax())], odds.max() / odds.sum()) if found else ("und", 0.0)
+
+
+def test_language_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    model = brute_language_model([(r.text, r.lang) for r in docs if r.text and r.lang and zlib.crc32(str(r.doc_id).encode()) % 4 != 2])
+    got = {r.doc_id: r for r in langid.op3_language_id(spark, DATA).collect()}
+    for r in docs:
+        lang, score = brute_language(r.text, *model)
+        assert got[r.doc_id].lang_pred == lang and np.isclose(got[r.doc_id].score, score)
+
+
+def test_only_letters_make_words():
+    assert langid.words_of("10 ² ½ a²b É_x") == ["a", "b", "é", "x"] and langid.words_of("½ ²") == langid.words_of(None) == []
+
+
+def test_the_sample_is_never_empty(spark):
+    rows = spark.range(2000).withColumnRenamed("id", "doc_id")
+    assert 300 < lucky_ids(rows, 400, "doc_id").count() < 500 and lucky_ids(rows, 5000, "doc_id").count() == 2000
