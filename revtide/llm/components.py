@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import attach, salt, stage
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -31,13 +31,18 @@ def _checksum(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges with the least m of their u; the edges of one node, however many, are spread over many join keys."""
+    return attach(edges.withColumn("_salt", salt("v")), least, ["u"], "_salt").drop("_salt")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _with_least(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     hung = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
-    return edges.join(least, "u").select(hung.alias("u"), F.col("m").alias("v")).distinct()
+    return _with_least(edges, least).select(hung.alias("u"), F.col("m").alias("v")).distinct()
