@@ -9,7 +9,7 @@ their places in the texts by the words' numbers.
 
 Words are joined once a chunk and not once an occurrence, so no key is hot. The numbered texts are written in buckets
 of chunks and don't move again. A sample of documents names words so frequent that nearly every chunk has them: they
-have fixed numbers, and their rows of the word table are broadcast. Which words those are changes no result.
+have fixed numbers, the most frequent the lowest, and their rows of the word table are broadcast. Which words those are changes no result.
 """
 
 from __future__ import annotations
@@ -25,14 +25,15 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import lucky_ids, shared_folder, small_batches, stage, table
 
-#: Documents (about) that name the frequent words, and how many of those are broadcast at most.
-SAMPLE_DOCS, HEAD_WORDS = 5_000, 100_000
+#: Documents (about) that name the frequent words, how many of those are broadcast at most, and tasks that encode them.
+SAMPLE_DOCS, HEAD_WORDS, HEAD_TASKS = 20_000, 400_000, 32
 #: A chunk of texts ends after so many words (a text isn't cut).
 CHUNK_WORDS = 5_000_000
 #: Buckets of the numbered texts for each partition of the input, and at most.
@@ -142,11 +143,13 @@ def word_table(words: DataFrame, path: str) -> DataFrame:
 class Head:
     """The frequent words, numbered from 0, with their ids one after the other and their decoded texts."""
 
-    def __init__(self, words: list[str], ids: list[list[int]], decoded: list[str]):
+    def __init__(self, words: list[str], found: pa.Table):
         self.number = {w: i for i, w in enumerate(words)}
-        self.lengths = np.array([len(x) for x in ids], np.int64)
-        self.ids = np.concatenate([np.array(x, np.int32) for x in ids]) if ids else np.zeros(0, np.int32)
-        self.decoded = decoded
+        at = {w: i for i, w in enumerate(found["word"].to_pylist())}
+        found = found.take(pa.array([at[w] for w in words], pa.int64())).combine_chunks()
+        self.lengths = np.array(pc.list_value_length(found["ids"]), np.int64)
+        self.ids = np.array(pc.list_flatten(found["ids"]), np.int32)
+        self.decoded = found["decoded"].to_pylist()
 
 
 def frequent_words(docs: DataFrame, path: str, most: int = HEAD_WORDS) -> Head:
@@ -159,9 +162,8 @@ def frequent_words(docs: DataFrame, path: str, most: int = HEAD_WORDS) -> Head:
                 yield pd.DataFrame({"word": pd.Series(found[i : i + 50_000], dtype=object)})
 
     counts = lucky_ids(docs, SAMPLE_DOCS, "_text").mapInPandas(split, "word string").groupBy("word").count()
-    words = counts.orderBy(F.desc("count"), "word").limit(most).select("word")
-    found = word_table(words, path).toArrow().to_pydict()
-    return Head(found["word"], found["ids"], found["decoded"])
+    words = stage(counts.orderBy(F.desc("count"), "word").limit(most)).orderBy(F.desc("count"), "word").select("word")
+    return Head(words.toArrow()["word"].to_pylist(), word_table(words.repartition(HEAD_TASKS, "word"), path).toArrow())
 
 
 def numbered(docs: DataFrame, head, keep: list[str]) -> DataFrame:
@@ -207,12 +209,12 @@ def numbered(docs: DataFrame, head, keep: list[str]) -> DataFrame:
     return docs.select(*keep, "_text").mapInArrow(split, f"_chunk long, {kept}_numbers binary, _number int, _word string")
 
 
-def bucketed(rows: DataFrame, key: str, buckets: int) -> DataFrame:
-    """rows, written to the shared folder in buckets of key: what is grouped by key later doesn't move."""
+def bucketed(rows: DataFrame, key: str, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """rows, written to the shared folder in buckets of key: what is grouped by key later doesn't move. And read plainly."""
     spark, name = rows.sparkSession, f"buckets_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
     rows.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), spark.read.schema(rows.schema).parquet(path)
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -228,9 +230,11 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] |
     rows = docs.select(*(F.col(f"`{c}`").alias(p) for c, p in zip(kept, plain)), F.col(text_col).alias("_text"))
     head = spark.sparkContext.broadcast(frequent_words(rows, path, HEAD_WORDS))
     buckets = min(MOST_BUCKETS, BUCKETS_PER_PARTITION * max(1, rows.rdd.getNumPartitions()))
-    chunks = bucketed(numbered(rows, head, plain), "_chunk", buckets)
-    words = chunks.filter("_word IS NOT NULL").select(F.col("_chunk").alias("_of"), "_number", F.col("_word").alias("word")).repartition("word")
-    found = words.join(word_table(words.select("word").distinct(), path), "word").select("_of", "_number", "ids", "decoded")
+    chunks, unordered = bucketed(numbered(rows, head, plain), "_chunk", buckets)
+    words = unordered.filter("_word IS NOT NULL").select(F.col("_chunk").alias("_of"), "_number", F.col("_word").alias("word")).repartition("word")
+    # the aggregate reads all columns, so that the words go through one exchange for it and for the join
+    distinct = words.groupBy("word").agg(F.min(F.struct("_of", "_number")).alias("first")).filter("first IS NOT NULL").select("word")
+    found = words.join(word_table(distinct, path), "word").select("_of", "_number", "ids", "decoded")
 
     def assemble(texts: pa.Table, tail: pa.Table) -> pa.Table:
         h, order = head.value, np.argsort(tail["_number"].to_numpy())
