@@ -36,6 +36,8 @@ from .shared import lucky_ids, shared_folder, small_batches, stage, table
 SAMPLE_DOCS, HEAD_WORDS, HEAD_TASKS = 20_000, 400_000, 32
 #: A chunk of texts ends after so many words (a text isn't cut).
 CHUNK_WORDS = 5_000_000
+#: Words that go back to the chunks in one batch; texts of a chunk that get their ids at once.
+PACKED_WORDS, TEXTS_AT_ONCE = 200_000, 500
 #: Buckets of the numbered texts for each partition of the input, and at most.
 BUCKETS_PER_PARTITION, MOST_BUCKETS = 4, 20_000
 
@@ -217,6 +219,37 @@ def bucketed(rows: DataFrame, key: str, buckets: int) -> tuple[DataFrame, DataFr
     return spark.table(name), spark.read.schema(rows.schema).parquet(path)
 
 
+def packed(found: DataFrame) -> DataFrame:
+    """Words (_of, _number, ids, decoded) -> rows that hold many words of one chunk, as they lie together in a task."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size >= PACKED_WORDS:
+                yield from of(held)
+                held, size = [], 0
+        if size:
+            yield from of(held)
+
+    def of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).sort_by([("_of", "ascending"), ("_number", "ascending")]).combine_chunks()
+        chunks, lists, decoded = np.array(rows["_of"]), rows["ids"].chunk(0), rows["decoded"].to_pylist()
+        numbers, lengths, ids = np.array(rows["_number"], "<u4"), np.array(pc.list_value_length(lists), "<u2"), np.array(pc.list_flatten(lists), "<u4")
+        ends = np.cumsum(lengths)
+        first = np.flatnonzero(np.r_[True, chunks[1:] != chunks[:-1]])
+        columns: list[list] = [[], [], [], []]
+        for a, b in zip(first, [*first[1:], len(chunks)]):
+            some = ids[ends[a] - lengths[a] : ends[b - 1]]
+            for column, x in zip(columns, (numbers[a:b].tobytes(), lengths[a:b].tobytes(), some.tobytes(), "\n".join(decoded[a:b]))):
+                column.append(x)
+        kinds = (pa.binary(), pa.binary(), pa.binary(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(chunks[first]), *map(pa.array, columns, kinds)], ["_of", "numbers", "lengths", "ids", "decoded"])
+
+    return found.mapInArrow(pack, "_of long, numbers binary, lengths binary, ids binary, decoded string")
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The keep columns of docs (all, if not given) with ids (array of int) and decoded (string) of the whole text.
 
@@ -235,24 +268,32 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] |
     # the aggregate reads all columns, so that the words go through one exchange for it and for the join
     distinct = words.groupBy("word").agg(F.min(F.struct("_of", "_number")).alias("first")).filter("first IS NOT NULL").select("word")
     found = words.join(word_table(distinct, path), "word").select("_of", "_number", "ids", "decoded")
+    found = packed(found)
 
     def assemble(texts: pa.Table, tail: pa.Table) -> pa.Table:
-        h, order = head.value, np.argsort(tail["_number"].to_numpy())
-        lists = tail["ids"].combine_chunks().take(pa.array(order)) if len(order) else pa.array([], pa.list_(pa.int32()))
-        lengths = np.concatenate([h.lengths, np.diff(lists.offsets.to_numpy())])
-        flat = np.concatenate([h.ids, lists.flatten().to_numpy()])
-        decoded = np.array([*h.decoded, *tail["decoded"].take(pa.array(order)).to_pylist()], object)
-        starts = np.cumsum(lengths) - lengths
-        raw = texts["_numbers"].to_pylist()
-        numbers = np.frombuffer(b"".join(raw), "<u4")
-        ends = np.cumsum([len(x) // 4 for x in raw])
-        own = lengths[numbers]
-        before = np.concatenate([[0], np.cumsum(own)])
-        ids = flat[np.repeat(starts[numbers] - before[:-1], own) + np.arange(before[-1])]
-        offsets = np.concatenate([[0], before[ends]]).astype(np.int32)
-        said = [" ".join(filter(None, x)) for x in np.split(decoded[numbers], ends[:-1])]
-        result = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32))), pa.array(said, pa.string())]
-        return pa.Table.from_arrays([*(texts[p].combine_chunks() for p in plain), *result], [*plain, "ids", "decoded"])
+        h = head.value
+        column = lambda name, kind: np.frombuffer(b"".join(tail[name].to_pylist()), kind)
+        own, ids = column("lengths", "<u2").astype(np.int64), column("ids", "<u4").astype(np.int32)
+        order = np.argsort(column("numbers", "<u4"))
+        begins = (np.cumsum(own) - own)[order] + len(h.ids)
+        lengths, flat = np.concatenate([h.lengths, own[order]]), np.concatenate([h.ids, ids])
+        starts = np.concatenate([np.cumsum(h.lengths) - h.lengths, begins])
+        said = "\n".join(tail["decoded"].to_pylist()).split("\n") if len(order) else []
+        decoded = np.array([*h.decoded, *(said[i] for i in order)], object)
+
+        def of(some: pa.Table) -> pa.Table:
+            raw = some["_numbers"].to_pylist()
+            numbers = np.frombuffer(b"".join(raw), "<u4")
+            ends = np.cumsum([len(x) // 4 for x in raw])
+            n = lengths[numbers]
+            before = np.concatenate([[0], np.cumsum(n)])
+            at = np.repeat(starts[numbers] - before[:-1], n) + np.arange(before[-1])
+            offsets = np.concatenate([[0], before[ends]]).astype(np.int32)
+            texts_of = [" ".join(filter(None, x)) for x in np.split(decoded[numbers], ends[:-1])]
+            result = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[at])), pa.array(texts_of, pa.string())]
+            return pa.Table.from_arrays([*(some[p].combine_chunks() for p in plain), *result], [*plain, "ids", "decoded"])
+
+        return pa.concat_tables([of(texts.slice(i, TEXTS_AT_ONCE)) for i in range(0, len(texts), TEXTS_AT_ONCE)])
 
     kinds = ", ".join(f"`{p}` {rows.schema[p].dataType.simpleString()}" for p in plain)
     texts = chunks.filter("_numbers IS NOT NULL").select("_chunk", *plain, "_numbers")
