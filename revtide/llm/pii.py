@@ -1,10 +1,13 @@
 """Personal data: base patterns and bootstrapped contextual extraction, in DataFrame operations only.
 
-Base spans of the four kinds are found and validated by expressions. They are the seeds. Every token with a digit is
-an instance; what stands left of it together with its shape is a lexical pattern. Over the graph of patterns and
-instances, pattern confidence (the share of its occurrences that are known to be of a kind) and instance scores (the
-mean confidence of an instance's patterns) are computed in turn, for ROUNDS rounds. Unseen instances that reach
-ACCEPT under a pattern that is as sure become further spans; base spans stay as they are.
+Base spans of the four kinds are found and validated by expressions. They are the seeds, each a whole instance. Looser
+patterns find candidates: mail addresses without a domain's dot or with the signs spelled out, IPv6 addresses, numbers
+with other separators, and any token with a digit. The words around an occurrence give three lexical patterns: the word
+before, the two words before, and the words before and after. Over the graph of patterns and instances, pattern
+confidence (the share of a pattern's occurrences that are known to be of a kind) and instance scores (by the kind of
+pattern, the mean confidence over an instance's occurrences; the best of the three) are computed in turn, for ROUNDS
+rounds. Unseen instances that reach ACCEPT under a pattern as sure become further spans. What a base pattern matches
+and its check refuses (a number that fails Luhn) is no personal data: it lowers a pattern's confidence and isn't added.
 """
 
 from __future__ import annotations
@@ -26,10 +29,21 @@ PATTERNS = {
 }
 #: What a text must have before its pattern is worth running.
 TRIGGERS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
-TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*"
+#: Candidates besides base spans: spelled-out or unusual mail addresses, IPv6 addresses, longer numbers, tokens with a digit.
+LOOSE = "|".join([
+    r"(?<![^\s<(\[])[^\s@<>()\[\],;:]+(?:@|\x20?[(\[]at[)\]]\x20?|\x20at\x20(?=[^\s]+\x20dot\x20))[^\s@<>()\[\],;:]+(?:(?:\x20?[(\[]dot[)\]]\x20?|\x20dot\x20)[^\s@<>()\[\],;:]+)*",
+    r"(?<!\S)(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}",
+    r"(?<!\S)[(+]?[0-9](?:[\x20().\/-]{0,2}[0-9]){6,}+",
+    r"(?<!\S)[^\s0-9]*+[0-9]\S*",
+])
+LOOSE_TRIGGER = r"[0-9]|@|[(\[ ]at[)\] ]"
+#: What a candidate must look like to be of a kind.
+FORMS = {"email": r"@|[(\[ ]at[)\] ]", "ip": r"[0-9A-Fa-f]*[.:][0-9A-Fa-f]*[.:]", "card": r"(?:[0-9][^0-9]*){12}", "phone": r"(?:[0-9][^0-9]*){7}"}
 OCTET = r"^0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"
-SPAN = "struct<start:int,rank:int,kind:string,end:int,value:string,before:string>"
+SPAN = "struct<start:int,rank:int,kind:string,end:int,value:string,before:string,after:string>"
 ROUNDS, SUPPORT, LIKELY, ACCEPT = 3, 3, 0.5, 0.8
+#: Matches of a text whose positions are added up at once.
+BLOCK = 128
 
 
 def matches(text: Column, pattern: str, trigger: str, kind: str, rank: int) -> Column:
@@ -41,17 +55,29 @@ def matches(text: Column, pattern: str, trigger: str, kind: str, rank: int) -> C
     none = F.array().cast(f"array<{SPAN}>")
 
     def add(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["1"])
-        end = start + F.length(pair["0"])
+        start = acc["at"] + F.length(pair["before"])
+        end = start + F.length(pair["match"])
         span = F.struct(
             start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"),
-            pair["0"].alias("value"), F.right(pair["1"], F.lit(40)).alias("before"),
+            pair["match"].alias("value"), F.right(pair["before"], F.lit(60)).alias("before"), F.left(pair["after"], F.lit(40)).alias("after"),
         ).cast(SPAN)
-        grown = F.struct(end.cast("int").alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
-        return F.when(pair["0"].isNull(), acc).otherwise(grown)
-
-    start = F.struct(F.lit(0).cast("int").alias("at"), none.alias("spans"))
-    spans = F.aggregate(F.arrays_zip(found, gaps), start, add, lambda acc: acc["spans"])
+        return F.struct(end.cast("int").alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+
+    def block(acc: Column, some: Column) -> Column:
+        inner = F.aggregate(some, F.struct(acc["at"].alias("at"), none.alias("spans")), add)
+        return F.transform(F.array(inner), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["spans"], x["spans"]).alias("spans")))[0]
+
+    def positions(x: Column) -> Column:
+        """Block by block, so that long arrays aren't copied for every match."""
+        n = F.size(x["found"])
+        gap = lambda i: F.get(x["gaps"], i)
+        pairs = F.transform(x["found"], lambda m, i: F.struct(m.alias("match"), gap(i).alias("before"), gap(i + 1).alias("after")))
+        starts = F.filter(F.sequence(F.lit(0), n, F.lit(BLOCK)), lambda b: b < n)
+        blocks = lambda p: F.transform(starts, lambda b: F.slice(p, b + 1, F.lit(BLOCK)))
+        whole = F.transform(F.array(pairs), blocks)[0]
+        return F.aggregate(whole, F.struct(F.lit(0).alias("at"), none.alias("spans")), block, lambda acc: acc["spans"])
+
+    spans = F.transform(F.array(F.struct(found.alias("found"), gaps.alias("gaps"))), positions)[0]
     return F.when(text.rlike(trigger), spans).otherwise(none)
 
 
@@ -88,56 +114,80 @@ def digest_form(spans: Column) -> Column:
     return F.array_join(parts, ",")
 
 
-def learn(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """tokens (before, shape, value, kind or null) -> accepted instances (value, kind) and patterns (before, shape, kind)."""
-    edges = stage(tokens.groupBy("before", "shape", "value").agg(F.count("*").alias("n"), F.max("kind").alias("kind")))
+def learn(occurrences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """occurrences (value, kind or null, refused, patterns) -> accepted instances (value, kind), sure patterns (pattern, kind).
+
+    A seed that is found as several kinds counts as the last of them by name.
+    """
+    each = occurrences.select("value", "kind", "refused", F.explode("patterns").alias("pattern"))
+    edges = each.groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("kind").alias("kind"), F.max("refused").alias("refused"))
+    edges = stage(edges)
     seeds = edges.filter("kind IS NOT NULL").groupBy("value").agg(F.max("kind").alias("kind")).withColumn("score", F.lit(1.0))
-    totals = edges.groupBy("before", "shape").agg(F.sum("n").alias("total"))
-    unknown = edges.drop("kind").join(seeds, "value", "left_anti")
-    weight = unknown.groupBy("value").agg(F.sum("n").alias("weight"))
+    totals = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
+    unknown = edges.filter("NOT refused").drop("kind", "refused").join(seeds, "value", "left_anti")
+    sort = F.substring("pattern", 1, 1).alias("sort")  # which of the three
+    weight = unknown.groupBy("value", sort).agg(F.sum("n").alias("weight"))
     known = seeds
     for _ in range(ROUNDS):
-        hits = edges.drop("kind").join(known, "value").groupBy("before", "shape", "kind").agg(
+        hits = edges.drop("kind", "refused").join(known, "value").groupBy("pattern", "kind").agg(
             F.sum(F.col("n") * F.col("score")).alias("hit"), F.sum(F.when(F.col("score") == 1.0, 1).otherwise(0)).alias("support")
         )
-        patterns = hits.join(totals, ["before", "shape"]).withColumn("sure", F.col("hit") / F.col("total"))
-        patterns = stage(patterns.filter((F.col("support") >= SUPPORT) & (F.col("sure") >= LIKELY)).select("before", "shape", "kind", "sure"))
-        scores = unknown.join(patterns, ["before", "shape"]).groupBy("value", "kind").agg(F.sum(F.col("n") * F.col("sure")).alias("hit"))
-        found = scores.join(weight, "value").withColumn("score", F.col("hit") / F.col("weight"))
-        found = stage(found.filter(F.col("score") >= LIKELY).select("value", "kind", "score"))
+        patterns = hits.join(totals, "pattern").withColumn("sure", F.col("hit") / F.col("total"))
+        patterns = stage(patterns.filter((F.col("support") >= SUPPORT) & (F.col("sure") >= LIKELY)).select("pattern", "kind", "sure"))
+        scores = unknown.join(patterns, "pattern").groupBy("value", "kind", sort).agg(F.sum(F.col("n") * F.col("sure")).alias("hit"))
+        scores = scores.filter(looks_like(F.col("value"), F.col("kind"))).join(weight, ["value", "sort"])
+        found = scores.groupBy("value", "kind").agg(F.max(F.col("hit") / F.col("weight")).alias("score"))
+        found = stage(found.filter(F.col("score") >= LIKELY))
         known = seeds.unionByName(found)
-    accepted = found.filter(F.col("score") >= ACCEPT).groupBy("value").agg(F.max_by("kind", "score").alias("kind"))
+    accepted = found.filter(F.col("score") >= ACCEPT).groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
     return accepted, patterns.filter(F.col("sure") >= ACCEPT).drop("sure")
 
 
-def find_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(_row, id, base, added): arrays of spans for every row of docs.
+def looks_like(value: Column, kind: Column) -> Column:
+    out = F.lit(False)
+    for k, form in FORMS.items():
+        out = F.when(kind == k, value.rlike(form)).otherwise(out)
+    return out
+
+
+def lexical_patterns(before: Column, after: Column) -> Column:
+    """The word before, the two words before, the words before and after; without case and signs. Missing ones are ''."""
+    word = lambda text, pattern: F.lower(F.regexp_extract(text, pattern, 1))
+    one, two = word(before, r"([\p{L}\p{N}=:]+)[^\p{L}\p{N}]*$"), word(before, r"([\p{L}\p{N}]+[^\p{L}\p{N}]+[\p{L}\p{N}=:]+)[^\p{L}\p{N}]*$")
+    nearby = word(after, r"^[^\p{L}\p{N}]*([\p{L}\p{N}]+)")
+    return F.array(F.concat(F.lit("1 "), one), F.concat(F.lit("2 "), F.regexp_replace(two, r"\s+", " ")), F.concat(F.lit("3 "), one, F.lit(" _ "), nearby))
 
-    A null or empty text has no spans. Rows may repeat and ids may be null: rows are told apart by _row. Only the id
-    and the text are read. An empty table gives no rows.
+
+def find_spans(docs: DataFrame, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """(_doc, base, added): a struct of the given columns (all, if not given) and arrays of spans for every row of docs.
+
+    A null or empty text has no spans. Rows may repeat and ids may be null: spans are joined by a number of the row.
+    Other columns may have any name. An empty table gives no rows. Added spans don't overlap base spans.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.monotonically_increasing_id().alias("_row"), F.col(id_col), base_spans(text).alias("base"),
-        matches(text, TOKEN, "[0-9]", "token", 9).alias("tokens"),
+        F.monotonically_increasing_id().alias("_row"), F.struct(*(F.col(f"`{c}`") for c in columns or docs.columns)).alias("_doc"),
+        base_spans(text).alias("base"), matches(text, LOOSE, LOOSE_TRIGGER, "candidate", 9).alias("loose"),
     )
     rows = stage(rows)
-    at = rows.filter("size(tokens) > 0").select("_row", "base", F.explode("tokens").alias("t"))
-    value = F.regexp_replace(F.col("t.value"), r"[^\p{L}0-9]+$", "")
-    over = F.filter("base", lambda b: (b["start"] < F.col("t.end")) & (b["end"] > F.col("t.start")))
-    tokens = at.select(
-        "_row", F.col("t.start").alias("start"), (F.col("t.start") + F.length(value)).alias("end"), value.alias("value"),
-        F.lower(F.regexp_extract("t.before", r"(\S+)\s*$", 1)).alias("before"),
-        F.regexp_replace(F.regexp_replace(value, r"\p{L}+", "a"), "[0-9]", "9").alias("shape"),
-        F.get(over, F.lit(0))["kind"].alias("kind"),
+    both = rows.filter("size(base) + size(loose) > 0").select("_row", "base", F.explode(F.concat("base", "loose")).alias("t"))
+    seed = F.col("t.kind") != "candidate"
+    value = F.when(seed, F.col("t.value")).otherwise(F.regexp_replace(F.col("t.value"), r"[^\p{L}\p{N}]+$", ""))
+    end = F.col("t.start") + F.length(value)
+    over = F.exists("base", lambda b: (b["start"] < end) & (b["end"] > F.col("t.start")))
+    base_form = F.lit("^(?:" + "|".join(PATTERNS.values()) + ")$")
+    occurrences = both.filter(seed | ~over).select(
+        "_row", F.col("t.start").alias("start"), end.alias("end"), value.alias("value"), F.when(seed, F.col("t.kind")).alias("kind"),
+        (~seed & F.rlike(value, base_form)).alias("refused"), lexical_patterns(F.col("t.before"), F.col("t.after")).alias("patterns"),
     )
-    accepted, patterns = learn(tokens)
-    new = tokens.filter("kind IS NULL").drop("kind").join(accepted, "value").join(patterns, ["before", "shape", "kind"])
+    accepted, sure = learn(occurrences)
+    new = occurrences.filter("kind IS NULL AND NOT refused").drop("kind").join(accepted, "value")
+    new = new.select("_row", "start", "end", "value", "kind", F.explode("patterns").alias("pattern")).join(sure, ["pattern", "kind"])
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
-    span = F.struct("start", rank.alias("rank"), "kind", F.col("end"), "value", F.lit("").alias("before")).cast(SPAN)
+    span = F.struct("start", rank.alias("rank"), "kind", "end", "value", F.lit("").alias("before"), F.lit("").alias("after")).cast(SPAN)
     added = new.groupBy("_row").agg(F.collect_set(span).alias("added"))
     none = F.array().cast(f"array<{SPAN}>")
-    return rows.drop("tokens").join(added, "_row", "left").withColumn("added", F.coalesce("added", none))
+    return rows.drop("loose").join(added, "_row", "left").select("_doc", "base", F.coalesce("added", none).alias("added"))
 
 
 def masked(text: Column, spans: Column) -> Column:
@@ -153,20 +203,24 @@ def masked(text: Column, spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, add, rest)
 
 
-def mask_documents(docs: DataFrame) -> DataFrame:
-    """documents with personal data masked in text and n_chars to match; all other columns and rows as they are."""
-    spans = find_spans(docs).select(F.col("doc_id").alias("_id"), F.concat("base", "added").alias("_spans"))
-    spans = spans.filter("size(_spans) > 0").groupBy("_id").agg(F.array_distinct(F.flatten(F.collect_list("_spans"))).alias("_spans"))
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_id"]), "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("_spans")))
-    changed = joined.withColumn("text", text)
-    return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+def mask_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with personal data masked in the text, and n_chars to match if there is such a column; all rows stay.
+
+    Each row is masked by its own spans, so null and repeated ids and clashing names don't matter; a null text stays null.
+    """
+    spans, text = F.concat("base", "added"), F.col(f"_doc.`{text_col}`")
+    changed = F.when(F.size(spans) > 0, masked(text, spans)).otherwise(text)
+    found = find_spans(docs, text_col).select("_doc", changed.alias("_text"))
+    new = {text_col: F.col("_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return found.select(*(new.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_spans(table(spark, sf_dir, "documents"))
+    found = find_spans(table(spark, sf_dir, "documents"), columns=["doc_id"])
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select(
-        "doc_id", *map(count, KINDS), F.sha2(digest_form(F.col("base")), 256).alias("base_sha256"),
+        "_doc.doc_id", *map(count, KINDS), F.sha2(digest_form(F.col("base")), 256).alias("base_sha256"),
         digest_form(F.concat("base", "added")).alias("spans"),
     )

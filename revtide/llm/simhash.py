@@ -1,18 +1,20 @@
 """Near duplicates by SimHash fingerprints and a Gray-order hierarchical index.
 
 Distinct fingerprints are cut into BLOCKS bit blocks. Two fingerprints that differ in at most RADIUS bits agree on at
-least BLOCKS - RADIUS of them, so each goes to one bucket for every choice of that many blocks: no link is lost.
-Buckets are dealt over the cluster, each sorted by Gray rank. A small bucket is one leaf, compared directly. In a
-large one runs of FAN neighbours become leaves that hold the bit pattern their members share; FAN leaves share a node,
-which holds what they have in common, and so on up, a child keeping only the bits its parent lacks. A search adds up
-the differences from the root down, and drops a whole group once they exceed RADIUS. It also drops a group whose
-members are all linked to the searching fingerprint already, which keeps dense clusters near linear. A bucket gives a
-spanning forest of its links, never all pairs.
+least BLOCKS - RADIUS of them, so for every choice of that many blocks there is an order in which they lie near each
+other: the chosen bits first, all sorted by Gray rank. Fingerprints that agree on the chosen bits are one bucket;
+buckets are dealt over the cluster, and a task indexes about TREE of its fingerprints at a time, whole buckets only, so
+no link is lost. In an index FAN neighbours in Gray order share a node, which holds the masked bit pattern that they
+have in common, FAN nodes the next, and so on up, a child keeping only the bits its parent lacks. Each fingerprint is
+searched from the root down: differences add up, and a whole group is dropped once they exceed RADIUS or lie in the
+chosen bits, where another order finds the pair. Groups whose
+members are all linked to the searching fingerprint already are dropped too, which keeps dense clusters near linear.
+All links come from these searches. An index gives a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -24,9 +26,10 @@ from .components import connected_components
 from .shared import attach, salt, small_batches, stage, table
 
 WIDTH, RADIUS, SEED = 4, 4, 42
-BLOCKS, FAN = 6, 32
-#: Most (searching fingerprint, node) pairs held at once while an index is searched.
-FRONTIER = 2_000_000
+#: Bit blocks; members of a node; fingerprints of an index, but for larger buckets.
+BLOCKS, FAN, TREE = 6, 8, 32_768
+#: Most (searching fingerprint, node) pairs held at once while an index is searched, most fingerprints searching at once.
+FRONTIER, MOST_QUERIES = 2_000_000, 4_096
 
 
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
@@ -56,25 +59,32 @@ def fingerprints(width: int = WIDTH):
     return of
 
 
-def gray_rank(value: Column) -> Column:
-    """Position of a 64-bit word in the reflected Gray order (the prefix XOR of its bits)."""
-    for shift in (1, 2, 4, 8, 16, 32):
-        value = value.bitwiseXOR(F.shiftrightunsigned(value, shift))
-    return value
+CUTS = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
+CHOICES = list(combinations(range(BLOCKS), BLOCKS - RADIUS))
+#: By number of the order, the bits that agree in it.
+CHOSEN = np.array([sum(((1 << CUTS[b + 1]) - (1 << CUTS[b])) for b in c) for c in CHOICES], np.uint64)
 
 
-def bucket_keys(fp: Column) -> Column:
-    """One key for each choice of BLOCKS - RADIUS blocks: the choice's number above the chosen bits."""
-    cuts = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
-    keys = []
-    for number, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - RADIUS)):
-        key = F.lit(number).cast("long")
-        for b in chosen:
-            size = cuts[b + 1] - cuts[b]
-            bits = F.shiftrightunsigned(fp, cuts[b]).bitwiseAND(F.lit((1 << size) - 1))
-            key = F.shiftleft(key, size).bitwiseOR(bits)
-        keys.append(key)
-    return F.array(*keys)
+def folded(shift: int) -> Callable[[Column], Column]:
+    return lambda x: x.withField("_gray", x["_gray"].bitwiseXOR(F.shiftrightunsigned(x["_gray"], shift)))
+
+
+def orders(fp: Column) -> Column:
+    """For each choice of BLOCKS - RADIUS blocks: its number, the chosen bits, and the word with those first in Gray order."""
+    found = []
+    for number, chosen in enumerate(CHOICES):
+        word, bits = F.lit(0).cast("long"), 0
+        for b in [*chosen, *(b for b in range(BLOCKS) if b not in chosen)]:
+            size = CUTS[b + 1] - CUTS[b]
+            part = F.shiftrightunsigned(fp, CUTS[b]).bitwiseAND(F.lit((1 << size) - 1))
+            word = F.shiftleft(word, size).bitwiseOR(part)
+            bits += size if b in chosen else 0
+        key = F.shiftrightunsigned(word, 64 - bits)
+        found.append(F.struct(F.lit(number).cast("long").alias("_order"), key.alias("_key"), word.alias("_gray")))
+    ranked = F.array(*found)
+    for shift in (1, 2, 4, 8, 16, 32):  # the position in the reflected Gray order is the prefix XOR of the bits
+        ranked = F.transform(ranked, folded(shift))
+    return F.transform(ranked, lambda x: x.withField("_gray", x["_gray"].bitwiseXOR(F.lit(-(2**63)))))  # as signed numbers sort
 
 
 def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -94,10 +104,10 @@ def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
 
 
 class GrayIndex:
-    """Hierarchical index over fingerprints sorted by Gray rank."""
+    """Hierarchical index over fingerprints sorted by Gray rank. Pairs that differ in a bit of `agree` aren't looked for."""
 
-    def __init__(self, fps: np.ndarray, fan: int = FAN):
-        self.fps, self.fan = fps, fan
+    def __init__(self, fps: np.ndarray, fan: int = FAN, agree: int = 0):
+        self.fps, self.fan, self.agree, self.visited = fps, fan, np.uint64(agree), 0
         both, some, self.levels = fps, fps, []
         while True:
             starts = np.arange(0, len(both), fan)
@@ -106,67 +116,73 @@ class GrayIndex:
             if len(both) <= fan:
                 break
 
-    def search(self, queries: np.ndarray, labels: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query index, member index) within radius whose labels differ."""
-        low, high, uniform = labels, labels, []
-        for _ in self.levels:
-            starts = np.arange(0, len(low), self.fan)
-            low, high = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
-            uniform.append(np.where(low == high, low, -1))
+    def search(self, queries: np.ndarray, labels: np.ndarray, uniform: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query index, member index) within radius whose labels differ; uniform: the one label below a node, or -1."""
         top = len(self.levels[-1][0])
         q, node = np.repeat(queries, top), np.tile(np.arange(top), len(queries))
         spent = np.zeros(len(q), np.int64)
         above = np.zeros(len(q), np.uint64)
         for i in range(len(self.levels) - 1, -1, -1):
             shared, pattern = self.levels[i]
-            spent = spent + np.bitwise_count((self.fps[q] ^ pattern[node]) & shared[node] & ~above)
-            keep = (spent <= radius) & (uniform[i][node] != labels[q])
+            apart = (self.fps[q] ^ pattern[node]) & shared[node] & ~above
+            spent = spent + np.bitwise_count(apart)
+            keep = (spent <= radius) & (apart & self.agree == 0) & (uniform[i][node] != labels[q])
             q, node, spent = q[keep], node[keep], spent[keep]
+            if len(q) * self.fan > FRONTIER and len(queries) > 1:
+                halves = (self.search(x, labels, uniform, radius) for x in np.array_split(queries, 2))
+                return tuple(map(np.concatenate, zip(*halves)))
             above = np.repeat(shared[node], self.fan)
             q, spent = np.repeat(q, self.fan), np.repeat(spent, self.fan)
             node = (node[:, None] * self.fan + np.arange(self.fan)).ravel()
             inside = node < (len(self.levels[i - 1][0]) if i else len(self.fps))
             q, node, spent, above = q[inside], node[inside], spent[inside], above[inside]
-        spent = spent + np.bitwise_count((self.fps[q] ^ self.fps[node]) & ~above)
-        keep = (spent <= radius) & (labels[q] != labels[node])
+        self.visited += len(q)
+        apart = (self.fps[q] ^ self.fps[node]) & ~above
+        keep = (spent + np.bitwise_count(apart) <= radius) & (apart & self.agree == 0) & (labels[q] != labels[node])
         return q[keep], node[keep]
 
+    def uniform(self, labels: np.ndarray) -> list[np.ndarray]:
+        low, high, out = labels, labels, []
+        for _ in self.levels:
+            starts = np.arange(0, len(low), self.fan)
+            low, high = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
+            out.append(np.where(low == high, low, -1))
+        return out
+
     def components(self, radius: int) -> np.ndarray:
         labels, done, block = np.arange(len(self.fps)), 0, 64
-        most = max(16, FRONTIER // max(1, len(self.levels[0][0])))
         while done < len(self.fps):
             queries = np.arange(done, min(len(self.fps), done + block))
-            labels = merge_labels(labels, *self.search(queries, labels, radius))
-            done, block = done + block, min(2 * block, most)
+            labels = merge_labels(labels, *self.search(queries, labels, self.uniform(labels), radius))
+            done, block = done + block, min(2 * block, MOST_QUERIES)
         return labels
 
 
-def link_buckets(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS, fan: int = FAN) -> np.ndarray:
-    """Rows sorted by (key, Gray rank) -> for each row the first row of its bucket that it is linked to."""
-    labels = np.arange(len(keys))
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    size = np.diff(np.r_[first, len(keys)])
-    own = np.repeat(size, size)
-    small = np.flatnonzero((own > 1) & (own <= fan))
-    pairs = []
-    for step in range(1, fan):
-        a = small[small + step < len(keys)]
-        a = a[keys[a] == keys[np.minimum(a + step, len(keys) - 1)]]
-        if not len(a):
-            break
-        near = np.bitwise_count(fps[a] ^ fps[a + step]) <= radius
-        pairs.append((a[near], a[near] + step))
-    if pairs:
-        labels = merge_labels(labels, *(np.concatenate(x) for x in zip(*pairs)))
-    for f, n in zip(first[size > fan], size[size > fan]):
-        labels[f : f + n] = f + GrayIndex(fps[f : f + n], fan).components(radius)
+def link_buckets(
+    buckets: np.ndarray, agree: np.ndarray, fps: np.ndarray, radius: int = RADIUS, fan: int = FAN, tree: int = TREE
+) -> np.ndarray:
+    """Rows by order and bucket, in Gray order -> for each row the first row of its group in its index.
+
+    agree: the bits that are equal in a bucket of the row's order. An index holds whole buckets of one order.
+    """
+    labels = np.arange(len(fps))
+    ends = np.r_[np.flatnonzero(buckets[1:] != buckets[:-1]) + 1, len(fps)]
+    orders_end = np.r_[np.flatnonzero(agree[1:] != agree[:-1]) + 1, len(fps)]
+    at = 0
+    while at < len(fps):
+        end = int(ends[min(np.searchsorted(ends, at + tree), len(ends) - 1)])
+        end = min(end, int(orders_end[np.searchsorted(orders_end, at, "right")]))
+        if end - at > 1:
+            labels[at:end] = at + GrayIndex(fps[at:end], fan, agree[at]).components(radius)
+        at = end
     return labels
 
 
 def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def found(rows: pd.DataFrame) -> pd.DataFrame:
         ids = rows["_rep"].to_numpy()
-        labels = link_buckets(rows["_key"].to_numpy(), rows["_fp"].to_numpy().view(np.uint64))
+        keys = rows["_order"].to_numpy() * 2**32 + rows["_key"].to_numpy()
+        labels = link_buckets(keys, CHOSEN[rows["_order"].to_numpy()], rows["_fp"].to_numpy().view(np.uint64))
         moved = labels != np.arange(len(labels))
         return pd.DataFrame({"a": ids[moved], "b": ids[labels[moved]]})
 
@@ -174,11 +190,11 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         if not len(rows):
             continue
-        keys = rows["_key"].to_numpy()
-        if held and held[-1]["_key"].iloc[-1] == keys[-1]:
+        keys = rows["_order"].to_numpy() * 2**32 + rows["_key"].to_numpy()
+        if held and tuple(held[-1][["_order", "_key"]].iloc[-1]) == tuple(rows[["_order", "_key"]].iloc[-1]):
             held.append(rows)
             continue
-        cut = int(np.searchsorted(keys, keys[-1]))
+        cut = int(np.flatnonzero(keys == keys[-1])[0])
         whole = pd.concat([*held, rows.iloc[:cut]]) if held else rows.iloc[:cut]
         held = [rows.iloc[cut:]]
         if len(whole):
@@ -197,9 +213,9 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     marked = docs.select(F.col(id_col), fingerprints(width)(F.col(text_col)).alias("_fp"), salt(id_col).alias("_salt"))
     marked = stage(marked)
     distinct = marked.groupBy("_fp").agg(F.min(id_col).alias("_rep"))
-    keyed = distinct.filter("_rep IS NOT NULL").withColumn("_key", F.explode(bucket_keys(F.col("_fp"))))
-    keyed = keyed.withColumn("_gray", gray_rank(F.col("_fp"))).repartition("_key").sortWithinPartitions("_key", "_gray")
-    edges = keyed.select("_key", "_fp", "_rep").mapInPandas(_links, "a long, b long")
+    keyed = distinct.filter("_rep IS NOT NULL").select("_fp", "_rep", F.explode(orders(F.col("_fp"))).alias("o")).select("_fp", "_rep", "o.*")
+    keyed = keyed.repartition("_order", "_key").sortWithinPartitions("_order", "_gray")
+    edges = keyed.select("_order", "_key", "_fp", "_rep").mapInPandas(_links, "a long, b long")
     roots = connected_components(edges)
     linked = distinct.join(roots, distinct["_rep"] == roots["node"], "left").select(
         "_fp", F.coalesce("root", "_rep").alias("component_id")
@@ -207,14 +223,6 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     return attach(marked, linked, ["_fp"], "_salt").select(id_col, "_fp", "component_id")
 
 
-def drop_near_duplicates(
-    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = WIDTH
-) -> DataFrame:
-    """The document with the smallest id of each group stays; rows with a null id stay. Columns of docs."""
-    gone = near_duplicates(docs, text_col, id_col, width).filter(F.col(id_col) != F.col("component_id"))
-    return docs.join(gone.select(id_col).distinct(), id_col, "left_anti").select(*docs.columns)
-
-
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     found = near_duplicates(table(spark, sf_dir, "documents"))

@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from revtide.llm import exact_dedup, shingles, simhash
 from revtide.llm.components import connected_components
@@ -91,7 +92,6 @@ def test_simhash_odd_rows(odd_docs, clashing_docs, no_docs):
     for docs in (odd_docs, clashing_docs):
         found = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
         assert {(1, 1), (2, 1), (3, 3), (4, 3), (5, 3), (7, 7), (8, 7), (9, 7), (10, 10)} <= found
-        assert simhash.drop_near_duplicates(docs).columns == docs.columns
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
@@ -107,12 +107,36 @@ def test_large_bucket_links_like_brute_force(fan):
     fps = fps[np.argsort(rank)]
     keys = np.repeat(np.array([1, 2, 3]), [len(fps), 5, 1])
     rows = np.concatenate([fps, fps[:5], fps[:1]])
-    labels = simhash.link_buckets(keys, rows, fan=fan)
+    labels = simhash.link_buckets(keys, np.zeros(len(keys), np.uint64), rows, fan=fan, tree=1)
     want = brute_components(list(enumerate(fps.tolist())))
     assert labels[: len(fps)].tolist() == [want[i] for i in range(len(fps))]
     assert labels[-1] == len(rows) - 1
 
 
+def test_the_index_prunes_and_loses_nothing():
+    """Buckets of all sizes in indexes of several buckets: every link of brute force inside a bucket, few comparisons."""
+    rng = np.random.default_rng(6)
+    centres = rng.integers(0, 2**63, 900, dtype=np.uint64)
+    near = centres[:300] ^ np.array([sum(1 << int(b) for b in rng.choice(44, 4, replace=False)) for _ in range(300)], np.uint64)
+    fps = np.sort(np.concatenate([centres, near]))
+    rank = fps.copy()
+    for shift in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(shift)
+    fps = fps[np.argsort(rank)]
+    buckets, agree = (fps >> np.uint64(44)).astype(np.int64), np.full(len(fps), ((1 << 20) - 1) << 44, np.uint64)
+    links = 0
+    for tree in (1, 64, 5000):
+        labels = simhash.link_buckets(buckets, agree, fps, tree=tree)
+        for i in range(len(fps)):
+            close = np.flatnonzero((np.bitwise_count(fps ^ fps[i]) <= 4) & (buckets == buckets[i]))
+            links += len(close) - 1
+            assert len(set(labels[close])) == 1
+    assert links >= 3 * 600
+    index = simhash.GrayIndex(fps, agree=int(agree[0]))
+    index.components(4)
+    assert index.visited < 0.02 * len(fps) ** 2
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 1000 + i) for i in range(50)] + [(5, 5), (200, 201)]
     roots = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -172,5 +196,20 @@ def test_near_stage_odd_rows(odd_docs, clashing_docs, no_docs):
     for docs in (odd_docs, clashing_docs):
         kept = shingles.drop_near_duplicates(docs)
         assert kept.columns == docs.columns
-        assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 3, 4, 5, 6, 7, 10, 10, 11, 12]
+        assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 3, 4, 5, 6, 7, 10, 11, 12]
     assert shingles.drop_near_duplicates(no_docs).count() == 0
+
+
+def test_stages_keep_rows_with_null_and_repeated_ids(spark, odd_docs):
+    """A row goes only by its own text: other rows with its id stay."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (2, base + " end"), (2, "quite another text of the same number that stays"), (None, "first of none"), (None, base + " tail")]
+    docs = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in rows], odd_docs.schema).withColumns({c: F.lit(0) for c in ("_row", "_doc", "_id", "node")})
+    kept = shingles.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str((r.doc_id, r.text[:5])) for r in kept.collect()) == sorted(map(str, [(1, "w0 w1"), (2, "quite"), (None, "first")]))
+    exact = spark.createDataFrame([(1, "A"), (2, "a"), (2, "b"), (2, "B"), (None, "c"), (None, "C"), (None, "d")], "doc_id long, text string")
+    exact = exact.withColumns({c: F.lit(0) for c in ("_digest", "_run", "_row", "_doc", "_best", "id")})
+    got = exact_dedup.drop_duplicates(exact)
+    assert got.columns == exact.columns
+    assert sorted((r.doc_id or 0, r.text.lower()) for r in got.collect()) == [(0, "c"), (0, "d"), (2, "a"), (2, "b")]

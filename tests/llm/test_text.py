@@ -62,18 +62,28 @@ def test_pii_cases_and_odd_rows(spark, odd_docs, clashing_docs, no_docs):
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(CASES)], "doc_id long, text string")
     for docs in (frame, odd_docs, clashing_docs):
         texts = sorted(str((r.doc_id, brute_spans(r.text))) for r in docs.collect())
-        got = pii.find_spans(docs).select("doc_id", pii.digest_form("base").alias("s")).collect()
+        got = pii.find_spans(docs).select("_doc.doc_id", pii.digest_form("base").alias("s")).collect()
         assert sorted(str((r.doc_id, r.s)) for r in got) == texts
     assert pii.find_spans(no_docs).count() == 0
 
 
 def test_pii_bootstraps_unseen_identifiers(spark):
-    seeds = [f"word{i} card 411111111111111{d} and" for i, d in enumerate("111111")]
-    seeds = [f"pay with card {n} now" for n in ("4111111111111111", "4012888888881881", "4222222222222220", "5555555555554444", "5105105105105100", "6011111111111117")]
-    texts = [*seeds, "pay with card 4111111111111112 now", "number 4111111111111113 there"]
-    rows = pii.find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    added = {r.doc_id: [(s.kind, s.start, s.end) for s in r.added] for r in rows}
-    assert added[6] == [("card", 14, 30)] and added[7] == [] and not any(added[i] for i in range(6))
+    """Planted identifiers of forms that no base pattern knows, in contexts of seeds; the same forms elsewhere stay."""
+    cards = ("4111111111111111", "4012888888881881", "4222222222222220", "5555555555554444", "5105105105105100", "6011111111111117")
+    texts = [f"pay with card {n} now" for n in cards]
+    texts += [f"please write to ann{i}@mail.example.com today" for i in range(5)] + [f"call me at +1 (20{i}) 555-013{i} tonight" for i in range(5)]
+    texts += [f"server address 10.0.{i}.7 is down" for i in range(5)]
+    planted = [
+        ("pay with card 4111/1111/1111/1119 now", "card", "4111/1111/1111/1119"), ("please write to joan at mail dot org today", "email", "joan at mail dot org"),
+        ("please write to bob@localhost today", "email", "bob@localhost"), ("call me at 020 7946 0958 tonight", "phone", "020 7946 0958"),
+        ("server address fe80:0:0:0:202:b3ff:fe1e:8329 is down", "ip", "fe80:0:0:0:202:b3ff:fe1e:8329"),
+    ]
+    clean = ["number 4111111111111113 there", "pay with card 4111111111111112 now", "room 020 7946 0111 free", "look at chapter dot 5", "about 12 of 300"]
+    docs = [*texts, *(t for t, *_ in planted), *clean]
+    rows = pii.find_spans(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    added = {(r._doc.doc_id, s.kind, s.value) for r in rows for s in r.added}
+    unseen = {(len(texts) + i, kind, value) for i, (_, kind, value) in enumerate(planted)}
+    assert added == unseen
 
 
 def test_pii_masks_documents(odd_docs, spark):
@@ -82,6 +92,17 @@ def test_pii_masks_documents(odd_docs, spark):
     assert got == {1: ("mail é[EMAIL], [IP]!", 20), 2: (None, None), 3: ("clean", 5)}
 
 
+def test_pii_masks_every_row_by_its_own_spans(spark, odd_docs, clashing_docs, no_docs):
+    rows = [(1, "the second text of this id"), (1, "mail a@b.cd"), (None, "an ip 10.0.0.1"), (None, "a long clean text without data"), (1, "mail a@b.cd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("_row", "_doc", "base", "added", "_text")})
+    got = pii.mask_documents(docs)
+    assert got.columns == docs.columns
+    want = [(1, "the second text of this id"), (1, "mail [EMAIL]"), (None, "an ip [IP]"), (None, "a long clean text without data"), (1, "mail [EMAIL]")]
+    assert sorted(str((r.doc_id, r.text)) for r in got.collect()) == sorted(map(str, want))
+    assert pii.mask_documents(clashing_docs).columns == clashing_docs.columns and pii.mask_documents(no_docs).count() == 0
+    assert pii.mask_documents(odd_docs).count() == odd_docs.count()
+
+
 def page(body):
     return f"<html><head><title>t</title><script>var a='</p>';</script></head><body>{body}</body></html>"
 
