@@ -19,7 +19,7 @@ import re
 import uuid
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import islice
 
 import numpy as np
@@ -134,24 +134,30 @@ def word_table(words: DataFrame, path: str) -> DataFrame:
             ids = tokenizer.encoded(some.tolist())
             yield pd.Series([np.frombuffer(ids[w], "<u4").astype(np.int32) for w in some])
 
-    exploded = words.select("word", F.posexplode_outer(encoded("word")).alias("at", "id"))
+    exploded = words.select("word", encoded("word").alias("ids")).select("word", "ids", F.posexplode_outer("ids").alias("at", "id"))
     joined = exploded.join(F.broadcast(pieces(words.sparkSession, path)), "id", "left")
-    parts = F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "id", "piece"))))
-    found = joined.groupBy("word").agg(parts.alias("parts"))
-    decoded = F.array_join(F.transform("parts", lambda x: x["piece"]), " ")
-    return found.select("word", F.transform("parts", lambda x: x["id"]).alias("ids"), decoded.alias("decoded"))
+    parts = F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "piece"))))
+    found = joined.groupBy("word", "ids").agg(parts.alias("parts"))
+    return found.select("word", "ids", F.array_join(F.transform("parts", lambda x: x["piece"]), " ").alias("decoded"))
 
 
 class Head:
     """The frequent words, numbered from 0, with their ids one after the other and their decoded texts."""
 
     def __init__(self, words: list[str], found: pa.Table):
-        self.number = {w: i for i, w in enumerate(words)}
         at = {w: i for i, w in enumerate(found["word"].to_pylist())}
         found = found.take(pa.array([at[w] for w in words], pa.int64())).combine_chunks()
-        self.lengths = np.array(pc.list_value_length(found["ids"]), np.int64)
+        self.lengths = np.array(pc.list_value_length(found["ids"]), np.uint16)
         self.ids = np.array(pc.list_flatten(found["ids"]), np.int32)
-        self.decoded = found["decoded"].to_pylist()
+        self.words, self.said, self.size = "\n".join(words), "\n".join(found["decoded"].to_pylist()), len(words)
+
+    @cached_property
+    def number(self) -> dict[str, int]:
+        return {w: i for i, w in enumerate(self.words.split("\n"))} if self.size else {}
+
+    @cached_property
+    def decoded(self) -> list[str]:
+        return self.said.split("\n") if self.size else []
 
 
 def frequent_words(docs: DataFrame, path: str, most: int = HEAD_WORDS) -> Head:
@@ -276,8 +282,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] |
         own, ids = column("lengths", "<u2").astype(np.int64), column("ids", "<u4").astype(np.int32)
         order = np.argsort(column("numbers", "<u4"))
         begins = (np.cumsum(own) - own)[order] + len(h.ids)
-        lengths, flat = np.concatenate([h.lengths, own[order]]), np.concatenate([h.ids, ids])
-        starts = np.concatenate([np.cumsum(h.lengths) - h.lengths, begins])
+        head_own = h.lengths.astype(np.int64)
+        lengths, flat = np.concatenate([head_own, own[order]]), np.concatenate([h.ids, ids])
+        starts = np.concatenate([np.cumsum(head_own) - head_own, begins])
         said = "\n".join(tail["decoded"].to_pylist()).split("\n") if len(order) else []
         decoded = np.array([*h.decoded, *(said[i] for i in order)], object)
 

@@ -1,8 +1,11 @@
 """Main text of web pages, with site templates removed.
 
-A first pass hashes the markup of every closed container element of a page. Spark counts on how many pages of its host
-each hash occurs; those on many pages are the site's template. The second pass reads the pages again, leaves out
-template subtrees and what its tag, role or class names as not being the article, and joins the blocks that are left.
+A first pass hashes every closed container element of a page twice: its markup, and its structure (tags, roles and
+classes, with the text masked), since menus and footers of a site differ in their texts. Spark counts on how many
+distinct pages of its host each hash occurs, and how much of its page's text lies in it on average. Markup on many
+pages of a host is the site's template; so is structure that is on many pages and holds little of their text, as the
+article does not. The second pass reads the pages again, deletes template subtrees, leaves out what tags, roles and
+class names set apart from the article besides (all there is to go by on small hosts), and joins the remaining blocks.
 """
 
 from __future__ import annotations
@@ -15,10 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches, table
+from .shared import SALTS, attach, small_batches, stage, table
 
 #: A subtree is a template if it is on so many pages of its host and on such a share of them.
 LEAST_PAGES, SHARE = 10, 0.5
+#: Structure that recurs is a template if it holds no more of its pages' texts than this on average.
+LITTLE = 0.25
+#: An article or main element counts as the page's if it holds so much of the text that is left.
+MAIN_SHARE = 0.3
 #: Template tables of up to so many hosts and hashes are broadcast; larger ones join by a shuffle.
 BROADCAST_ROWS = 100_000
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg"}
@@ -28,7 +35,11 @@ BLOCKS = {
     "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary",
     "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", *NEVER,
 }
-CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "aside", "nav", "header", "footer", "form", "figure", "details"}
+CONTAINERS = {
+    "div", "section", "ul", "ol", "dl", "table", "aside", "nav", "header", "footer", "form", "figure", "details", "article", "main",
+}
+#: Elements whose end tag may be left out: any of these, or the end of a list or table, ends them too.
+OPEN_ENDED = {"p", "li", "dt", "dd", "td", "th", "tr", "option"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"}
 NAMES = {
@@ -37,6 +48,8 @@ NAMES = {
     "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "promoted", "related", "replies",
     "respond", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+#: Last parts of class names that a name may stand before.
+THINGS = {"area", "bar", "block", "box", "buttons", "container", "form", "inner", "item", "items", "links", "list", "section", "text", "widget", "wrap", "wrapper"}
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 SPACE = re.compile(r"\s+")
@@ -49,9 +62,14 @@ def hidden(tag: str, attributes: str, inside: bool) -> bool:
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
     for name, value in ATTRIBUTE.findall(attributes):
-        words = re.split(r"[^a-z]+", value.lower())
-        if name.lower() == "role" and ROLES.intersection(words) or NAMES.intersection(words):
+        value = value.lower().strip("\"'")
+        if name.lower() == "role" and value in ROLES:
             return True
+        # a name as a whole, or its first or last part: "share-box" and "site-nav", but not "post social-enabled"
+        for whole in value.split():
+            parts = re.split(r"[-_]+", whole)
+            if whole in NAMES or len(parts) > 1 and (parts[0] in NAMES and parts[-1] in THINGS or parts[-1] in NAMES):
+                return True
     return False
 
 
@@ -77,30 +95,56 @@ def tags(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
             yield found.start(), at, bool(found[1]), name, found[3] or ""
 
 
-def subtrees(html: str | None) -> list[tuple[int, int, str, int]]:
-    """(start, end, tag, hash) of the container elements that are closed."""
-    open_: list[tuple[str, int, int]] = []
-    out = []
-    for start, end, closing, name, _ in tags(html or ""):
-        if name not in CONTAINERS:
+def subtrees(html: str | None) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, markup hash, structure hash, characters of text) of the container elements that are closed."""
+    html = html or ""
+    open_: list[tuple[int, int, int, int]] = []  # start, end of the start tag, tags before, text before
+    places: dict[str, list[int]] = {}  # of each name, where in open_
+    structure: list[str] = []
+    out, text, at = [], 0, 0
+    for start, end, closing, name, attributes in tags(html):
+        text, at = text + max(0, start - at), end
+        if not name:
             continue
         if not closing:
-            open_.append((name, start, end))
+            known = "".join(f" {k.lower()}={v.lower()}" for k, v in ATTRIBUTE.findall(attributes) if k.lower() != "id") if attributes else ""
+            structure.append(name + known)
+            if name in CONTAINERS:
+                places.setdefault(name, []).append(len(open_))
+                open_.append((start, end, len(structure) - 1, text))
             continue
-        for i in range(len(open_) - 1, max(-1, len(open_) - 50), -1):
-            if open_[i][0] == name:
-                out.append((open_[i][1], end, name, subtree_hash(html[open_[i][2] : start])))
-                del open_[i:]
-                break
+        structure.append("/" + name)
+        if name in CONTAINERS:
+            own = places.get(name, [])
+            while own and own[-1] >= len(open_):  # it was left open in an element closed since
+                own.pop()
+            if own:
+                begin, inner, first, before = open_[own[-1]]
+                form = subtree_hash("form " + "<".join(structure[first:]))
+                out.append((begin, end, subtree_hash(html[inner:start]), form, text - before))
+                del open_[own.pop() :]
     return out
 
 
 def main_text(html: str | None, template: set[int]) -> str:
-    """The blocks of the article, in order, joined by empty lines; empty text for null or a page without any."""
+    """The blocks of the article, in order, joined by empty lines; empty text for null or a page without any.
+
+    The article is the page's article elements, or else its main element, if they hold MAIN_SHARE of what is left of the
+    page; or else all of that.
+    """
     html = html or ""
-    gone = {start: end for start, end, _, key in sorted(subtrees(html)) if key in template} if template else {}
-    lowered = html.lower()
-    main = next((t for t in ("article", "main") if f"<{t}" in lowered), None)
+    gone = {x[0]: x[1] for x in sorted(subtrees(html)) if x[2] in template or x[3] in template} if template else {}
+    lowered, whole = html.lower(), None
+    for main in ("article", "main"):
+        if f"<{main}" in lowered:
+            text = _text(html, gone, main)
+            whole = _text(html, gone, None) if whole is None else whole
+            if text and len(text) >= MAIN_SHARE * len(whole):
+                return text
+    return _text(html, gone, None) if whole is None else whole
+
+
+def _text(html: str, gone: dict[int, int], main: str | None) -> str:
     blocks: list[str] = []
     parts: list[str] = []
     inside, at, skip, depth, until = 0, 0, "", 0, 0
@@ -122,10 +166,13 @@ def main_text(html: str | None, template: set[int]) -> str:
         if skip:
             if name == skip:
                 depth += -1 if closing else 1
-            if depth == 0 or skip == "p" and name in BLOCKS and name != "p":
+            # an element whose end tag may be missing ends with the next of its kind or at the next block's end or start
+            ended = skip in OPEN_ENDED and (name == skip and not closing or name in BLOCKS and name != skip and (closing or skip == "p"))
+            if depth == 0 or ended:
                 skip = ""
                 flush()
-            continue
+            if not ended or closing:
+                continue
         if name == main:
             flush()
             inside = max(0, inside + (-1 if closing else 1))
@@ -151,17 +198,31 @@ def with_host(pages: DataFrame, url_col: str = "url") -> DataFrame:
 
 
 def site_templates(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """(_host, _hash) of the subtrees on at least LEAST_PAGES pages and SHARE of the pages of their host."""
+    """(_host, _hash) of the templates: on at least LEAST_PAGES distinct pages and SHARE of those of their host.
 
-    @F.pandas_udf("array<long>")
-    def hashes(markup: pd.Series) -> pd.Series:
-        return pd.Series([list({key for *_, key in subtrees(h)}) for h in markup])
+    Copies of a page on its host count once, so that many copies don't make an article a template.
+    """
 
-    hosts = with_host(pages, url_col)
-    counts = hosts.select("_host", F.explode(hashes(html_col)).alias("_hash")).groupBy("_host", "_hash").count()
-    sizes = hosts.groupBy("_host").agg(F.count("*").alias("_pages")).filter(F.col("_pages") >= LEAST_PAGES)
-    many = counts.filter(F.col("count") >= LEAST_PAGES).join(sizes, "_host")
-    return many.filter(F.col("count") >= SHARE * F.col("_pages")).select("_host", "_hash")
+    @F.pandas_udf("array<struct<hash:long,share:double>>")
+    def hashes(markup: pd.Series) -> pd.Series:
+        out = []
+        for html in markup:
+            found = subtrees(html)
+            whole = max(1, len(TAG.sub("", html or "")))
+            shares: dict[int, float] = {}
+            for _, _, exact, form, size in found:
+                shares[exact] = 0.0
+                shares[form] = shares.get(form, 0.0) + size / whole
+            out.append([{"hash": k, "share": min(1.0, v)} for k, v in shares.items()])
+        return pd.Series(out, dtype=object)
+
+    hosts = with_host(pages, url_col).select("_host", F.xxhash64(html_col).alias("_page"), hashes(html_col).alias("_found"))
+    distinct = stage(hosts.groupBy("_host", "_page").agg(F.first("_found").alias("_found")))
+    each = distinct.select("_host", F.explode("_found").alias("x")).select("_host", F.col("x.hash").alias("_hash"), F.col("x.share").alias("_share"))
+    counts = each.groupBy("_host", "_hash").agg(F.count("*").alias("_on"), F.avg("_share").alias("_share")).filter(F.col("_on") >= LEAST_PAGES)
+    sizes = distinct.groupBy("_host").agg(F.count("*").alias("_pages")).filter(F.col("_pages") >= LEAST_PAGES)
+    many = counts.join(sizes, "_host").filter((F.col("_on") >= SHARE * F.col("_pages")) & (F.col("_share") <= LITTLE))
+    return many.select("_host", "_hash")
 
 
 def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
@@ -169,18 +230,23 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> D
 
     Columns of pages named text or n_chars are replaced; rows may repeat; an empty table gives no rows.
     """
-    known = site_templates(pages, html_col, url_col).cache()
-    small = known.count() <= BROADCAST_ROWS
-    by_host = known.groupBy("_host").agg(F.collect_list("_hash").alias("_template"))
-    rows = with_host(pages.drop("text", "n_chars"), url_col).join(F.broadcast(by_host) if small else by_host, "_host", "left")
+    known = stage(site_templates(pages, html_col, url_col))
+    by_host = known.groupBy("_host").agg(F.collect_list("_hash").alias("_template"))  # bounded by the elements of a page over SHARE
+    rest = [c for c in pages.columns if c.lower() not in ("text", "n_chars")]
+    rows = with_host(pages.select(*(F.col(f"`{c}`") for c in rest)), url_col)
+    if known.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(by_host), "_host", "left")
+    else:
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(html_col), F.lit(SALTS)))  # the pages of a large host are spread
+        with_template = attach(rows, by_host, ["_host"], "_salt")
+        rows = with_template.unionByName(rows.join(by_host, "_host", "left_anti"), allowMissingColumns=True)
 
     @F.pandas_udf("string")
     def text(markup: pd.Series, template: pd.Series) -> pd.Series:
         return pd.Series([main_text(h, set() if t is None else set(t)) for h, t in zip(markup, template)], dtype=object)
 
-    return rows.withColumn("text", text(html_col, "_template")).drop("_host", "_template").withColumn(
-        "n_chars", F.length("text").cast("long")
-    )
+    found = rows.select(*(F.col(f"`{c}`") for c in rest), text(html_col, "_template").alias("text"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

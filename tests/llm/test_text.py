@@ -116,6 +116,10 @@ def page(body):
         (page("<article><p>a</p><aside>s</aside><!-- c --><p>b</p><div class='share-box'>s</div></article>out"), "a\n\nb"),
         (page("<article><header><h1>Head</h1></header><p>a</p></article>"), "Head\n\na"),
         (page("<main><p>x" + " y" * 20_000 + "</p></main>"), "x" + " y" * 20_000),
+        ("<ul><li class='share'>a<li>b</ul><p>kept text</p>", "b\n\nkept text"), ("<ul><li>b<li class='share'>a</ul><p>kept</p>", "b\n\nkept"),
+        ("<div class='post social-enabled'><p>body</p></div><p class='disclaimer-free'>free</p>", "body\n\nfree"),
+        (page("<aside><article>teaser</article></aside><div><p>text of the page</p></div>"), "text of the page"),
+        (page("<!-- <article> --><main><p>one</p></main>"), "one"), (page("<div>" * 300 + "deep" + "</div>" * 300), "deep"),
     ],
 )
 def test_main_text(markup, text):
@@ -131,6 +135,29 @@ def test_site_templates_go(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_structure_that_recurs_goes_and_articles_stay(spark):
+    """Menus, boxes and footers whose texts differ on every page, without telling names; copies of a page are one page."""
+    words = lambda i, n: " ".join(f"w{(i * 7 + k * k) % 97}" for k in range(n))
+
+    def of(i):
+        menu = "".join(f"<li><a href='/{i}{k}'>{words(i + k, 1)}</a></li>" for k in range(4))
+        body = "".join(f"<p>{words(i + k, 30)}</p>" for k in range(1 + i % 5))
+        return page(f"<div class='top'><ul>{menu}</ul></div><div class='x1'><div class='body'>{body}</div></div><div class='end'><b>{words(i, 5)}</b></div>")
+
+    rows = [(i, "http://big.example.com/a", of(i)) for i in range(40)] + [(100 + i, "http://big.example.com/b", of(41)) for i in range(90)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    for i, _, markup in rows:
+        assert got[i] == "\n\n".join(re.findall("<p>(.*?)</p>", markup))
+        assert got[i] != html_text.main_text(markup, set())  # what is left without the templates
+
+
+def test_html_hosts_join_without_a_broadcast(spark, monkeypatch):
+    want = sorted(map(tuple, html_text.op7_html_text(spark, DATA).collect()), key=str)
+    monkeypatch.setattr(html_text, "BROADCAST_ROWS", -1)
+    assert sorted(map(tuple, html_text.op7_html_text(spark, DATA).collect()), key=str) == want
+
+
 def test_html_query_on_articles(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
     for r in html_text.op7_html_text(spark, DATA).collect():
