@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from .shared import free_name, id_remainder, lucky_ids, small_batches, stage, table
 
 #: Labelled documents (about) that the model is fitted on, which bounds it; longest n-gram; words a worker remembers.
-SAMPLE_DOCS, LONGEST, REMEMBERED = 6_000, 4, 50_000
+SAMPLE_DOCS, LONGEST, REMEMBERED = 2_500, 4, 50_000
 SMOOTH, UNKNOWN = 0.5, "und"
 #: Runs of letters and of other signs that count as word characters, such as superscript figures, which are no letters.
 RUN, LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
@@ -34,17 +35,18 @@ def words_of(text: str | None) -> list[str]:
 class Model:
     """Log frequencies of words and n-grams per language; rows of the scores belong to the words and n-grams."""
 
-    def __init__(self, languages: list[str], words: pd.DataFrame, grams: pd.DataFrame):
+    def __init__(self, languages: list[str], words: pa.Table, grams: pa.Table):
         self.languages = languages
         self.words, self.scores = self._table(words)
         self.grams, self.gram_scores = self._table(grams)
         self.memo: dict[str, np.ndarray] = {}
 
-    def _table(self, counts: pd.DataFrame) -> tuple[dict[str, int], np.ndarray]:
+    def _table(self, counts: pa.Table) -> tuple[dict[str, int], np.ndarray]:
         at = {language: i for i, language in enumerate(self.languages)}
-        keys = {k: i for i, k in enumerate(sorted(set(counts["key"])))}
+        keys: dict[str, int] = {}
+        rows = [keys.setdefault(k, len(keys)) for k in counts["key"].to_pylist()]
         n = np.zeros((len(keys), max(1, len(at))))
-        n[[keys[k] for k in counts["key"]], [at[x] for x in counts["lang"]]] = counts["n"]
+        n[rows, [at[x] for x in counts["lang"].to_pylist()]] = counts["n"]
         totals = np.maximum(n.sum(axis=0), 1)
         return keys, np.log(n / totals + SMOOTH / totals.max())  # unseen weighs the same in every language
 
@@ -91,7 +93,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     parts = F.concat(F.flatten(parts), F.filter(F.split("key", ""), lambda c: c != ""))
     grams = counts.select("lang", "n", F.explode(parts).alias("key")).groupBy("lang", "key").agg(F.sum("n").alias("n"))
     languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
-    return Model(languages, counts.select("lang", "key", "n").toPandas(), grams.select("lang", "key", "n").toPandas())
+    return Model(languages, counts.select("lang", "key", "n").toArrow(), grams.select("lang", "key", "n").toArrow())
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
