@@ -5,18 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed patterns: bot status lines and HTML comments of review comments; runs of blank lines.
-STATUS_LINE = r"(?im)^[ \t>]*(?:✅|☑️|✔️)[ \t]*(?:\*\*)?(?:resolved|addressed|confirmed as addressed|fixed)\b[^\n]*(?:\n|\z)"
-HTML_COMMENT = r"(?s)<!--.*?-->"
-BLANK_RUN = r"\n[ \t]*\n(?:[ \t]*\n)+"
-
-
-def blind_comment(text: Column) -> Column:
-    """text without what reports the comment's outcome; unchanged if there is nothing of the kind."""
-    out = F.regexp_replace(F.regexp_replace(text, STATUS_LINE, ""), HTML_COMMENT, "")
-    return F.when(out == text, text).otherwise(F.regexp_replace(F.regexp_replace(out, BLANK_RUN, "\n\n"), r"\A\s+|\s+\z", ""))
-
-
 def neutralize(text: Column, tags: list[str]) -> Column:
     """text in which the opening and closing block tags no longer work."""
     return F.regexp_replace(text, rf"(?i)<(/?\s*(?:{'|'.join(tags)})\b)", r"&lt;$1")

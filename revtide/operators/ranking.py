@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +64,73 @@ def similar_pairs(findings: DataFrame, slack: int) -> DataFrame:
     return kept.filter(F.col("overlap") >= SIMILARITY).select(*ROUND, F.col("a_finding_id").alias("a"), F.col("b_finding_id").alias("b"), "overlap")
 
 
+def similar_to(one: str, two: str, slack: int) -> Column:
+    """Whether two findings' lines overlap and their words do enough; columns begin with one and two."""
+    shared, either = F.size(F.array_intersect(f"{one}words", f"{two}words")), F.size(F.array_union(f"{one}words", f"{two}words"))
+    return same_place(one, two, slack) & (F.size(f"{one}words") > 0) & (F.size(f"{two}words") > 0) & (shared >= SIMILARITY * either)
+
+
+def same_place(one: str, two: str, slack: int) -> Column:
+    return (F.col(f"{one}start_line") - slack <= F.col(f"{two}end_line")) & (F.col(f"{two}start_line") - slack <= F.col(f"{one}end_line"))
+
+
+def merge_duplicates(findings: DataFrame, slack: int) -> DataFrame:
+    """One finding per issue of a round: the best wording, with raised_by and lessons_cited of all its repeats.
+
+    findings (repo, number, round, ord, finding_id, path, start_line, end_line, title, body, trace, severity, raised_by,
+    lessons_cited). In order, a finding joins the first group that has one similar to it, so groups aren't transitive
+    closures; a round's findings are few, and are grouped in one task from their similar pairs. Best is the most
+    severe, then one that no check raised, then the longest.
+    """
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    pairs = similar_pairs(findings, slack).select(*ROUND, both.alias("p"))
+    near = pairs.groupBy(*ROUND, F.col("p.a").alias("finding_id")).agg(F.collect_set("p.b").alias("_near"))
+
+    def group(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, of, begun = rows.sort_values(["ord", "finding_id"]), {}, {}
+        for turn, (finding, near_ones) in enumerate(zip(rows["finding_id"], rows["_near"])):
+            known = [of[x] for x in near_ones if x in of]
+            of[finding] = min(known, key=begun.get, default=finding)
+            begun.setdefault(of[finding], turn)
+        return rows[[*ROUND, "finding_id"]].assign(_group=[of[x] for x in rows["finding_id"]])
+
+    kinds = ", ".join(f"`{c}` {findings.schema[c].dataType.simpleString()}" for c in (*ROUND, "finding_id"))
+    repeats = findings.select(*ROUND, "ord", "finding_id").join(near, [*ROUND, "finding_id"])  # the others are groups of their own
+    grouped = repeats.groupBy(*ROUND).applyInPandas(group, f"{kinds}, _group string")
+    severity = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
+    size = -F.length(F.coalesce("body", F.lit(""))) - F.length(F.coalesce("trace", F.lit("")))
+    rank = F.struct(severity.alias("s"), F.get("raised_by", F.lit(0)).startswith("check:").alias("c"), size.alias("l"), "ord", "finding_id")
+    rows = findings.join(grouped, [*ROUND, "finding_id"], "left").withColumn("_group", F.coalesce("_group", "finding_id")).withColumn("_rank", rank)
+    best = Window.partitionBy(*ROUND, "_group").orderBy("_rank")
+    others = F.sort_array(F.collect_list(F.struct("ord", "raised_by", "lessons_cited")).over(Window.partitionBy(*ROUND, "_group")))
+    rows = rows.withColumns({"_turn": F.row_number().over(best), "_all": others})
+    union = lambda c: F.array_distinct(F.concat(c, F.flatten(F.transform("_all", lambda x: x[c]))))
+    merged = rows.filter("_turn = 1").withColumns({c: union(c) for c in ("raised_by", "lessons_cited")})
+    return merged.select(*findings.columns)
+
+
+def rereview(findings: DataFrame, prior: DataFrame, slack: int) -> DataFrame:
+    """findings with `bucket` as a re-review leaves it and `again`, what it did.
+
+    findings (repo, number, round, finding_id, path, start_line, end_line, title, body, category, severity, bucket),
+    prior (repo, number, path, lines, title, body, category, dismissed): a posted finding that repeats a prior one
+    (similar, or on its lines and of its category) is dismissed if that was, else noted; others that are not Important
+    are noted too.
+    """
+    keys = [*ROUND, "finding_id"]
+    side = lambda rows, mark, cols: rows.select("repo", "number", "path", *cols, *(F.col(c).alias(f"{mark}{c}") for c in ("start_line", "end_line", "category")), words(F.col("title"), F.col("body")).alias(f"{mark}words"))
+    both = side(findings, "n_", ["round", "finding_id"]).join(side(prior, "p_", ["dismissed"]), ["repo", "number", "path"])
+    repeat = similar_to("n_", "p_", slack) | (same_place("n_", "p_", 0) & F.col("n_category").eqNullSafe(F.col("p_category")))
+    seen = both.filter(repeat).groupBy(*keys).agg(F.bool_or("dismissed").alias("_dismissed"))
+    again = (
+        F.when(~F.col("bucket").isin("act_on", "consider"), None).when(F.col("_dismissed"), "dismissed_before").when(F.col("_dismissed").isNotNull(), "raised_before")
+        .when(F.col("severity") != "important", "not_important")
+    )
+    rows = findings.join(seen, keys, "left").withColumn("again", again)
+    bucket = F.when(F.col("again") == "dismissed_before", "dismissed").when(F.col("again").isNotNull(), "noted").otherwise(F.col("bucket"))
+    return rows.withColumn("bucket", bucket).select(*findings.columns, "again")
+
+
 def suppressed(findings: DataFrame, rules: list[dict], high_risk: list[str]) -> DataFrame:
     """findings (category, path, title, body, bucket) with `lesson`, the first rule that fits, and bucket dismissed there.
 

@@ -65,7 +65,8 @@ THREADS = Input("lineitem", {
     "repo": "concat('repo', CAST(l_orderkey % 11 AS STRING))", "number": "l_orderkey", "thread_id": FINDING_ID,
     "path": "concat('src/f', CAST(l_partkey AS STRING), '.py')", "created_at": "CAST(l_shipdate AS STRING)",
     "anchor": "CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE concat('c', CAST(l_suppkey % 3 AS STRING)) END",
-    "opener": "CASE l_suppkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'codecov-x' WHEN 2 THEN 'claude' WHEN 3 THEN 'amy' WHEN 4 THEN 'deploy-bot' ELSE 'Bo' END",
+    "opener": "CASE l_suppkey % 10 WHEN 0 THEN NULL WHEN 1 THEN 'codecov-x' WHEN 2 THEN 'claude' WHEN 3 THEN 'amy' WHEN 4 THEN 'deploy-bot' WHEN 5 THEN 'coderabbitai[bot]' "
+    "WHEN 6 THEN 'github-actions' WHEN 7 THEN 'Copilot-reviewer' WHEN 8 THEN 'geminifan' ELSE 'Bo' END",
     "opener_type": "CASE WHEN l_partkey % 10 = 0 THEN 'Bot' ELSE 'User' END", "pr_author": "CASE WHEN l_orderkey % 2 = 0 THEN 'amy' ELSE 'joe' END",
     "author_kind": "CASE l_suppkey % 4 WHEN 0 THEN 'ai' WHEN 1 THEN 'bot' ELSE 'human' END",
     "thumbs_down": "l_partkey % 23 = 0", "by_compare": "CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE l_partkey % 3 = 0 END",

@@ -272,15 +272,21 @@ def a5_answers(spark, sf_dir):
 
 # ---------------------------------------------------------------------------------------------- accounts and pull requests
 
-KIND_SQL = """CASE WHEN opener IS NOT NULL AND regexp_matches(opener, '^(copilot|claude|cursor|codex)$', 'i') THEN 'ai' WHEN opener IS NULL OR opener_type = 'Bot' OR regexp_matches(opener, '(bot$|^codecov|-service$)', 'i') THEN 'bot' ELSE 'human' END"""
+KIND_SQL = f"""CASE WHEN opener IS NULL THEN 'bot' WHEN regexp_matches(opener, '{filters.AGENT_LOGIN}') THEN 'ai'
+  WHEN regexp_matches(opener, '{filters.AI_LOGIN}') AND (opener_type = 'Bot' OR regexp_matches(opener, '{filters.BOT_LOGIN}') OR lower(opener) LIKE '%copilot%') THEN 'ai'
+  WHEN opener_type = 'Bot' OR regexp_matches(opener, '{filters.BOT_LOGIN}') THEN 'bot' ELSE 'human' END"""
+BY_ACTIONS = ("repo3", "repo7")
+KIND_IN_REPO = f"CASE WHEN opener = 'github-actions' AND repo IN ('repo3', 'repo7') THEN 'ai' ELSE {KIND_SQL} END"
 
 
-@query(f"SELECT number, thread_id, {KIND_SQL} AS kind, CASE WHEN opener = pr_author THEN 'pr_author' ELSE {KIND_SQL} END AS thread_kind FROM {THREADS.sql}")
+@query(f"""SELECT number, thread_id, {KIND_IN_REPO} AS kind, CASE WHEN opener = pr_author THEN 'pr_author' ELSE {KIND_IN_REPO} END AS thread_kind,
+CASE WHEN regexp_matches(opener, '{filters.AGENT_LOGIN}') THEN 'ai' ELSE {KIND_SQL} END AS as_author FROM {THREADS.sql}""")
 def f1_f2_author_kinds(spark, sf_dir):
-    opener, kind = F.col("opener"), F.col("opener_type")
+    opener, kind, repo = F.col("opener"), F.col("opener_type"), F.col("repo")
     return THREADS.df(spark, sf_dir).select(
-        "number", "thread_id", filters.author_kind(opener, kind).alias("kind"), filters.thread_author_kind(opener, kind, F.col("pr_author")).alias("thread_kind")
-    )
+        "number", "thread_id", filters.author_kind(opener, kind, repo, BY_ACTIONS).alias("kind"),
+        filters.thread_author_kind(opener, kind, F.col("pr_author"), repo, BY_ACTIONS).alias("thread_kind"), filters.pr_author_kind(opener, kind).alias("as_author"),
+    )
 
 
 TITLE_SQL = r"lower(trim(regexp_replace(title, '\s*\(?#\d+\)?\s*$', '')))"
@@ -299,14 +305,6 @@ def f6_exclude_repos(spark, sf_dir):
     return filters.exclude_repos(PRS.df(spark, sf_dir), excluded, renames).groupBy("repo").agg(F.count("*").alias("prs"))
 
 
-@query(f"""SELECT coalesce(reason, 'kept') AS reason, count(*) AS prs FROM (SELECT CASE WHEN number % 19 = 0 THEN 'stored' WHEN base_ref = 'release-1' THEN 'release_branch' WHEN source = 'benchmark' THEN 'benchmark' END AS reason FROM {PRS.sql}) GROUP BY 1""")
-def f8_reject_reasons(spark, sf_dir):
-    prs = PRS.df(spark, sf_dir)
-    rules = [("release_branch", F.col("base_ref") == "release-1"), ("benchmark", F.col("source") == "benchmark")]
-    found = filters.reject_reason(prs, prs.filter("number % 19 = 0"), rules)
-    return found.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("prs"))
-
-
 @query(f"""WITH h AS (SELECT number, max(CASE WHEN author_kind = 'human' THEN 1 ELSE 0 END) AS h FROM {THREADS.sql} GROUP BY number)
 SELECT corpus, routed, count(*) AS prs FROM (SELECT corpus, CASE WHEN corpus <> 'ai_feedback' AND source <> 'benchmark' THEN CASE WHEN h = 1 THEN 'human' ELSE 'approval_only' END ELSE corpus END AS routed FROM {PRS.sql} LEFT JOIN h USING (number)) GROUP BY ALL""")
 def f9_route_corpus(spark, sf_dir):
@@ -590,12 +588,14 @@ def e6_paired_bootstrap(spark, sf_dir):
     return rounded(resampling.paired_bootstrap(*common_rounds(spark, sf_dir), SCORING, 50, "boot"))
 
 
-@query(f"""{BOTH_RUNS}, {paired_sql('c.number % 5 = 0')}, once AS (SELECT 0 AS sample, 1 AS times, * FROM paired), {deltas_sql('once', 'whole')}
-SELECT (SELECT round(delta, 6) FROM whole) AS delta, count(*) AS missing FROM scored_t i WHERE number % 5 = 0 AND NOT EXISTS
+@query(f"""{BOTH_RUNS}, p AS (SELECT DISTINCT repo, number, language FROM scored_t), k AS (SELECT repo, number FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY sha256('screen' || chr(0) || {KEY_SQL})) AS rank,
+count(*) OVER (PARTITION BY language) AS n FROM p) WHERE rank <= greatest(1, round_even(0.2 * n, 0))), {paired_sql('(c.repo, c.number) IN (SELECT (repo, number) FROM k)')}, once AS (SELECT 0 AS sample, 1 AS times, * FROM paired), {deltas_sql('once', 'whole')}
+SELECT (SELECT round(delta, 6) FROM whole) AS delta, count(*) AS missing FROM scored_t i JOIN k USING (repo, number) WHERE NOT EXISTS
 (SELECT 1 FROM cand_t c WHERE c.repo = i.repo AND c.number = i.number AND c.round = i.round)""")
 def e9_screen(spark, sf_dir):
     candidate, incumbent = tallies_of(spark, sf_dir, CANDIDATE), tallies_of(spark, sf_dir)
-    return rounded(resampling.screen(candidate, incumbent, incumbent.filter("number % 5 = 0"), SCORING))
+    prs = splits.screen(incumbent.select("repo", "number", "language").distinct(), SPLITS)
+    return rounded(resampling.screen(candidate, incumbent, prs, SCORING))
 
 
 REPLIES = Input("lineitem", {"repo": THREADS.columns["repo"], "number": "l_orderkey", "thread_id": THREADS.columns["thread_id"], "at": "concat(CAST(CAST(substr(CAST(l_shipdate AS STRING), 1, 4) AS INT) + l_linenumber % 2 AS STRING), substr(CAST(l_shipdate AS STRING), 5, 20))"})
@@ -643,10 +643,7 @@ MARKED = Input("conversations", {
 })
 
 
-BLIND = r"(?im)^[ \t>]*(?:✅|☑️|✔️)[ \t]*(?:\*\*)?(?:resolved|addressed|confirmed as addressed|fixed)\b[^\n]*(?:\n|\z)"
-
-
-@query(rf"""WITH o AS (SELECT *, regexp_replace(regexp_replace(body, '{BLIND}', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS out FROM {MARKED.sql})
+@query(rf"""WITH o AS (SELECT *, regexp_replace(regexp_replace(body, '{replay.STATUS}', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS out FROM {MARKED.sql})
 SELECT conv_id, turn, CASE WHEN out = body THEN body ELSE regexp_replace(regexp_replace(out, '\n[ \t]*\n(?:[ \t]*\n)+', chr(10) || chr(10), 'g'), '\A\s+|\s+\z', '', 'g') END AS body FROM o""")
 def t10_blind_comments(spark, sf_dir):
     return MARKED.df(spark, sf_dir).withColumn("body", replay.blind_comment(F.col("body")))

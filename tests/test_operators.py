@@ -96,7 +96,7 @@ def test_branch_copies(spark):
 
 def test_blinding_and_tags(spark):
     cases = [("fine", "fine"), ("a\n\n\n\nb", "a\n\n\n\nb"), ("Bug.\n✅ Resolved in abc\n\n\n\nMore", "Bug.\n\nMore"), ("<!-- id -->\nText", "Text")]
-    rows = spark.createDataFrame(cases, "t string, want string").withColumn("got", publish.blind_comment(F.col("t")))
+    rows = spark.createDataFrame(cases, "t string, want string").withColumn("got", replay.blind_comment(F.col("t")))
     assert all(r.got == r.want for r in rows.collect())
     text = spark.createDataFrame([("<Diff>x</diff><b>",)], "t string").select(publish.neutralize(F.col("t"), ["diff"]).alias("t"))
     assert text.first().t == "&lt;Diff>x&lt;/diff><b>"
