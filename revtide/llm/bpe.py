@@ -36,6 +36,8 @@ from .shared import lucky_ids, shared_folder, small_batches, stage, table
 SAMPLE_DOCS, HEAD_WORDS, HEAD_TASKS = 20_000, 400_000, 32
 #: A chunk of texts ends after so many words (a text isn't cut).
 CHUNK_WORDS = 5_000_000
+#: How ids of this vocabulary, which are under 65,536, are packed.
+ID = "<u2"
 #: Words that go back to the chunks in one batch; texts of a chunk that get their ids at once.
 PACKED_WORDS, TEXTS_AT_ONCE = 200_000, 500
 #: Buckets of the numbered texts for each partition of the input, and at most.
@@ -134,11 +136,13 @@ def word_table(words: DataFrame, path: str) -> DataFrame:
             ids = tokenizer.encoded(some.tolist())
             yield pd.Series([np.frombuffer(ids[w], "<u4").astype(np.int32) for w in some])
 
-    exploded = words.select("word", encoded("word").alias("ids")).select("word", "ids", F.posexplode_outer("ids").alias("at", "id"))
+    exploded = words.select("word", F.posexplode_outer(encoded("word")).alias("at", "id"))
     joined = exploded.join(F.broadcast(pieces(words.sparkSession, path)), "id", "left")
-    parts = F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "piece"))))
-    found = joined.groupBy("word", "ids").agg(parts.alias("parts"))
-    return found.select("word", "ids", F.array_join(F.transform("parts", lambda x: x["piece"]), " ").alias("decoded"))
+    place = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("id").cast("long"))  # by which pieces sort
+    parts = F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct(place.alias("place"), "piece"))))
+    found = joined.groupBy("word").agg(parts.alias("parts"))
+    ids = F.transform("parts", lambda x: x["place"].bitwiseAND(F.lit(2**31 - 1)).cast("int"))
+    return found.select("word", ids.alias("ids"), F.array_join(F.transform("parts", lambda x: x["piece"]), " ").alias("decoded"))
 
 
 class Head:
@@ -221,7 +225,7 @@ def bucketed(rows: DataFrame, key: str, buckets: int) -> tuple[DataFrame, DataFr
     """rows, written to the shared folder in buckets of key: what is grouped by key later doesn't move. And read plainly."""
     spark, name = rows.sparkSession, f"buckets_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
-    rows.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    rows.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").saveAsTable(name)
     return spark.table(name), spark.read.schema(rows.schema).parquet(path)
 
 
@@ -242,7 +246,7 @@ def packed(found: DataFrame) -> DataFrame:
     def of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held).sort_by([("_of", "ascending"), ("_number", "ascending")]).combine_chunks()
         chunks, lists, decoded = np.array(rows["_of"]), rows["ids"].chunk(0), rows["decoded"].to_pylist()
-        numbers, lengths, ids = np.array(rows["_number"], "<u4"), np.array(pc.list_value_length(lists), "<u2"), np.array(pc.list_flatten(lists), "<u4")
+        numbers, lengths, ids = np.array(rows["_number"], "<u4"), np.array(pc.list_value_length(lists), "<u2"), np.array(pc.list_flatten(lists), ID)
         ends = np.cumsum(lengths)
         first = np.flatnonzero(np.r_[True, chunks[1:] != chunks[:-1]])
         columns: list[list] = [[], [], [], []]
@@ -279,7 +283,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] |
     def assemble(texts: pa.Table, tail: pa.Table) -> pa.Table:
         h = head.value
         column = lambda name, kind: np.frombuffer(b"".join(tail[name].to_pylist()), kind)
-        own, ids = column("lengths", "<u2").astype(np.int64), column("ids", "<u4").astype(np.int32)
+        own, ids = column("lengths", "<u2").astype(np.int64), column("ids", ID).astype(np.int32)
         order = np.argsort(column("numbers", "<u4"))
         begins = (np.cumsum(own) - own)[order] + len(h.ids)
         head_own = h.lengths.astype(np.int64)
