@@ -57,10 +57,14 @@ def similar_pairs(findings: DataFrame, slack: int) -> DataFrame:
     """
     rows = findings.select(*ROUND, "path", "finding_id", "start_line", "end_line", words(F.col("title"), F.col("body")).alias("words"))
     left, right = ([F.col(c).alias(f"{side}_{c}") for c in ("finding_id", "start_line", "end_line", "words")] for side in "ab")
-    pairs = rows.select(*ROUND, "path", *left).join(rows.select(*ROUND, "path", *right), [*ROUND, "path"])
+    keys = [*ROUND, "path"]
     near = (F.col("a_start_line") - slack <= F.col("b_end_line")) & (F.col("b_start_line") - slack <= F.col("a_end_line"))
+    near = near & (F.col("a_finding_id") < F.col("b_finding_id"))  # while joining, so that other pairs aren't made
+    for c in keys:
+        near = near & (F.col(c) == F.col(f"_{c}"))
+    pairs = rows.select(*keys, *left).join(rows.select(*(F.col(c).alias(f"_{c}") for c in keys), *right), near)
     overlap = F.size(F.array_intersect("a_words", "b_words")) / F.size(F.array_union("a_words", "b_words"))
-    kept = pairs.filter((F.col("a_finding_id") < F.col("b_finding_id")) & near & (F.size("a_words") > 0) & (F.size("b_words") > 0)).withColumn("overlap", overlap)
+    kept = pairs.filter((F.size("a_words") > 0) & (F.size("b_words") > 0)).withColumn("overlap", overlap)
     return kept.filter(F.col("overlap") >= SIMILARITY).select(*ROUND, F.col("a_finding_id").alias("a"), F.col("b_finding_id").alias("b"), "overlap")
 
 

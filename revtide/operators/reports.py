@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import running_sum, value_bucket
+
 
 def usage_by(ledger: DataFrame, *by: str) -> DataFrame:
     """ledger (stage, run_id, at, cached, ok, tokens, cost, seconds) -> one row per group and, by rollup, a total."""
@@ -22,22 +24,15 @@ def run_wall_clock(ledger: DataFrame) -> DataFrame:
     return times.withColumn("minutes", F.round((F.unix_timestamp("ended") - F.unix_timestamp("started")) / 60, 4))
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """sorted[min(n - 1, int(q * n))]; values is an array."""
-    n = F.size(values)
-    return F.get(F.array_sort(values), F.least(n - 1, F.floor(n * q).cast("int")))
-
-
 def latency(rounds: DataFrame, group: str, value: str) -> DataFrame:
     """Mean, and nearest-rank median and 90th percentile per group.
 
-    Values are counted first, so a group is one row per distinct value and its quantiles are a running sum.
+    Values are counted first, and their running sum is taken range by range, so no group is sorted in one task.
     """
-    counts = rounds.groupBy(group, value).agg(F.count("*").alias("_n"))
-    n = F.sum("_n").over(Window.partitionBy(group))
-    upto = F.sum("_n").over(Window.partitionBy(group).orderBy(value))
-    rows = counts.withColumns({"_all": n, "_upto": upto})
-    at = lambda q: F.min(F.when(F.col("_upto") > F.least(F.col("_all") - 1, F.floor(F.col("_all") * q)), F.col(value)))
+    counts = rounds.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n"))
+    rows = running_sum(value_bucket(counts, value), [group], F.col("_range"), [value], "_n", "_before", "_all")
+    upto = F.col("_before") + F.col("_n")
+    at = lambda q: F.min(F.when(upto > F.least(F.col("_all") - 1, F.floor(F.col("_all") * q)), F.col(value)))
     mean = F.round(F.sum(F.col(value) * F.col("_n")) / F.sum("_n"), 4)
     return rows.groupBy(group).agg(mean.alias("mean"), at(0.5).alias("p50"), at(0.9).alias("p90"))
 
@@ -50,10 +45,8 @@ def corpus_table(threads: DataFrame, group: str, kinds: list[str]) -> DataFrame:
 
 def mid_rank(df: DataFrame, metric: str, out: str) -> DataFrame:
     """Mid-rank percentile of a metric over its non-null values; a null scores 0. Equal values are counted first."""
-    counts = df.filter(F.col(metric).isNotNull()).groupBy(F.col(metric).alias("_v")).agg(F.count("*").alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = counts.agg(F.sum("_n").alias("_all"))
-    ranks = counts.withColumn("_below", below).crossJoin(F.broadcast(total))  # one row
+    counts = df.filter(F.col(metric).isNotNull()).groupBy(F.col(metric).alias("_v")).agg(F.count("*").alias("_n")).withColumn("_every", F.lit(1))
+    ranks = running_sum(value_bucket(counts, "_v"), ["_every"], F.col("_range"), ["_v"], "_n", "_below", "_all")
     ranks = ranks.select("_v", ((F.col("_below") + 0.5 * F.col("_n")) / F.col("_all")).alias(out))
     return df.join(ranks, df[metric] == ranks["_v"], "left").drop("_v").withColumn(out, F.coalesce(out, F.lit(0.0)))
 

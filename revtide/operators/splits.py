@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import ranked, salted_hash
+from ..functions.ranks import ranked, running_sum, salted_hash
 from ..params import SplitParams
 
 TIME = ["created_at", "repo", "number"]
@@ -108,6 +108,6 @@ def round_robin(items: DataFrame, repo: str, stratum: str, salt: str, most: int)
 def until_enough(items: DataFrame, group: str, first: str, size: str, enough: int) -> DataFrame:
     """Whole rows in order (rows with `first` set, then hash order) until those before reach `enough`, per group."""
     hashed = items.withColumn("_hash", F.sha2(key(), 256))
-    order = Window.partitionBy(group).orderBy(F.desc(first), "_hash").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(size).over(order), F.lit(0))
-    return hashed.withColumn("before", before).filter(F.col("before") < enough).select(*items.columns, "before")
+    prefix = F.concat(F.when(F.col(first), "0").otherwise("1"), F.substring("_hash", 1, 3))
+    summed = running_sum(hashed, [group], prefix, ["_hash"], size)
+    return summed.filter(F.col("before") < enough).select(*items.columns, "before")

@@ -119,7 +119,13 @@ def select_rounds(rounds: DataFrame, most: int) -> DataFrame:
 
 def threads_before(prs: DataFrame, threads: DataFrame, most: int) -> DataFrame:
     """For each PR (repo, number, path, created_at) the latest `most` earlier threads of its repo and path."""
-    earlier = threads.select("repo", "path", "thread_id", F.col("created_at").alias("thread_at"))
-    rows = prs.join(earlier, ["repo", "path"]).filter(F.col("thread_at") < F.col("created_at"))
-    turn = F.row_number().over(Window.partitionBy("repo", "number", "path").orderBy(F.desc("thread_at"), "thread_id"))
-    return rows.withColumn("rank", turn).filter(F.col("rank") <= most).select("repo", "number", "path", "thread_id", "rank")
+    place = Window.partitionBy("repo", "path")
+    known = threads.select("repo", "path", "thread_id", "created_at").withColumn("_seq", F.row_number().over(place.orderBy("created_at", F.desc("thread_id"))))
+    asked = prs.select("repo", "number", "path", "created_at").withColumn("_thread", F.lit(0))
+    # PRs and threads of a path in one order: how many threads came before, not all pairs of them
+    both = asked.unionByName(known.select("repo", "path", "created_at").withColumn("_thread", F.lit(1)), allowMissingColumns=True)
+    upto = F.sum("_thread").over(place.orderBy("created_at", "_thread").rowsBetween(Window.unboundedPreceding, 0))
+    seen = both.withColumn("_upto", upto).filter("_thread = 0 AND _upto > 0").select("repo", "number", "path", "_upto")
+    last = seen.withColumn("_seq", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_upto") - most + 1), F.col("_upto"))))
+    found = last.join(known.drop("created_at"), ["repo", "path", "_seq"])
+    return found.select("repo", "number", "path", "thread_id", (F.col("_upto") - F.col("_seq") + 1).cast("int").alias("rank"))

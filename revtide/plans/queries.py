@@ -425,11 +425,10 @@ def d13_run_wall_clock(spark, sf_dir):
     return reports.run_wall_clock(LEDGER.df(spark, sf_dir))
 
 
-@query(f"""WITH r AS (SELECT stage, round(cost, 1) AS cost FROM {LEDGER.sql}), k AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY cost) - 1 AS i, count(*) OVER (PARTITION BY stage) AS n FROM r)
+@query(f"""WITH r AS (SELECT stage, cost FROM {LEDGER.sql}), k AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY cost) - 1 AS i, count(*) OVER (PARTITION BY stage) AS n FROM r)
 SELECT stage, round(avg(cost), 4) AS mean, max(CASE WHEN i = least(n - 1, CAST(floor(n * 0.5) AS BIGINT)) THEN cost END) AS p50, max(CASE WHEN i = least(n - 1, CAST(floor(n * 0.9) AS BIGINT)) THEN cost END) AS p90 FROM k GROUP BY stage""")
 def d6_latency(spark, sf_dir):
-    rows = LEDGER.df(spark, sf_dir).withColumn("cost", F.round("cost", 1))
-    return reports.latency(rows, "stage", "cost")
+    return reports.latency(LEDGER.df(spark, sf_dir), "stage", "cost")
 
 
 @query(f"""SELECT repo, count(*) FILTER (author_kind = 'ai') AS ai, count(*) FILTER (author_kind = 'bot') AS bot, count(*) FILTER (author_kind = 'human') AS human, count(*) AS threads,
