@@ -322,6 +322,25 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in rows} == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
+def test_every_pipeline_stage_on_odd_tables(spark, odd_docs, clashing_docs, no_docs):
+    """Null and repeated ids, null and empty texts, extra columns called like helpers, an empty table."""
+    import corpus_pipeline
+
+    own = clashing_docs.withColumns({c: F.lit(0) for c in ("_row", "_doc", "_id", "_text", "_fp", "_key", "_salt", "_language", "_best", "a", "b")})
+    texts = {(r.doc_id, r.text) for r in odd_docs.collect()}
+    for docs in (own, no_docs):
+        for name, step in corpus_pipeline.STAGES:
+            before, found = docs.count(), step(spark, docs, "")
+            if name == "packing":
+                assert (found.count() > 0) == (before > 0)
+                break
+            rows = found.collect()
+            assert found.columns == docs.columns and len(rows) <= before and (len(rows) > 0) == (before > 0), name
+            if name in ("language_id", "exact_dedup", "near_dedup"):
+                assert {(r.doc_id, r.text) for r in rows} <= texts, name
+            docs = spark.createDataFrame(rows, found.schema)
+
+
 def missed_licenses(templates):
     """Names of templates that a scan misses at some place of a text, once for each place."""
     scanner, missed = licenses.Scanner(templates), []
