@@ -189,6 +189,12 @@ def verifier_report(findings: DataFrame, judged: DataFrame, keys: list[str]) ->
     return counts.withColumns({"rejection_rate": ratio(F.col("dismissed"), F.col("proposed")), "false_dismissal_rate": ratio(F.col("false_dismissals"), F.col("dismissed_judged"))})
 
 
+def false_dismissals(findings: DataFrame, judged: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """The first `most` dismissed findings (keys, bucket) that judged notes (keys, klass) match with gold."""
+    wrong = judged.filter("klass = 'tp'").select(*keys)
+    return findings.filter("bucket = 'dismissed'").join(wrong, keys, "left_semi").select(*keys).orderBy(*keys).limit(most)
+
+
 def act_on_load(findings: DataFrame, flag: int) -> DataFrame:
     """Findings to act on a round: mean, largest, and rounds with more than `flag`."""
     rounds = findings.groupBy(*ROUND).agg(F.count_if(F.col("bucket") == "act_on").alias("n"))

@@ -116,6 +116,27 @@ def class_counts(scored: DataFrame) -> DataFrame:
     return scored.groupBy("final_klass", "credit").agg(F.count("*").alias("findings"))
 
 
+def scored_counts(scored: DataFrame) -> DataFrame:
+    """Findings by their part in the sums: valid unlabeled ones told apart by what they cost or earn."""
+    over, inflated = over_cap(), (F.col("severity") == "important") & (F.col("judged_severity") == "nit")
+    unlabeled = F.when(over, "vu_over_cap").when(inflated, "vu_inflated").when(F.col("credit") == "vu", "vu_credited").otherwise("vu_neutral")
+    kind = F.when(F.col("final_klass") == "vu", unlabeled).otherwise(F.col("final_klass"))
+    return scored.groupBy(kind.alias("kind")).agg(F.count("*").alias("findings"))
+
+
+def over_cap() -> Column:
+    """A valid unlabeled Nit beyond the cap of its round."""
+    return (F.col("final_klass") == "vu") & (F.col("severity") == "nit") & (F.col("credit") == "fp")
+
+
+def charged_findings(scored: DataFrame, most: int) -> DataFrame:
+    """The heaviest false positives and valid Nits beyond the cap, `most` of each kind."""
+    kind = F.when(over_cap(), "nit_beyond_cap").otherwise("false_positive")
+    rows = scored.filter(F.col("credit") == "fp").withColumn("kind", kind)
+    turn = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("weight"), *ROUND, "finding_id"))
+    return rows.withColumn("rank", turn).filter(F.col("rank") <= most).select("kind", "rank", *ROUND, "finding_id", "weight")
+
+
 def severity_confusion(scored: DataFrame) -> DataFrame:
     """Claimed against gold severity of true positives."""
     hits = scored.filter(F.col("credit") == "tp")

@@ -74,6 +74,18 @@ def split_table(assigned: DataFrame) -> DataFrame:
     )
 
 
+def split_counts(assigned: DataFrame, gold: DataFrame) -> DataFrame:
+    """assigned (repo, number, split, language, corpus, source), gold (repo, number, issues, important) -> counts a cell."""
+    rows = assigned.join(gold.withColumn("_gold", F.lit(True)), ["repo", "number"], "left")
+    own, bench = (F.col("corpus") == "human") & F.col("_gold").isNotNull(), F.col("source") == "benchmark"
+    total = lambda c: F.coalesce(F.sum(F.when(own, F.col(c))), F.lit(0))
+    return rows.groupBy("split", "language").agg(
+        F.count_if(own).alias("gold_prs"), F.count_if(own & (F.col("issues") > 0)).alias("issue_prs"), F.count_if(own & (F.col("important") > 0)).alias("important_prs"),
+        total("issues").alias("issues"), total("important").alias("important"), F.count_if(~bench & (F.col("corpus") == "approval_only")).alias("clean_prs"),
+        F.count_if(~bench & (F.col("corpus") == "ai_feedback")).alias("ai_feedback_prs"), F.count_if(bench).alias("benchmark_prs"),
+    )
+
+
 def validation_cuts(assigned: DataFrame) -> DataFrame:
     """When each language's validation period begins."""
     return assigned.filter(F.col("split") == "validation").groupBy("language").agg(F.min("created_at").alias("cut"))

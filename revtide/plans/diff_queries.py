@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import diffs, filters, gate, ranking, redaction, reports, reviews, sampling
+from ..operators import diffs, filters, gate, ranking, redaction, reports, reviews, sampling, scoring, splits
 from .inputs import PRS, THREADS, Input
-from .queries import KIND_SQL, query, rounded
-from .review_queries import KEY, LINE, OPEN_PRS, REVIEWS, ROUND
+from .queries import ASSIGNED, KIND_SQL, SCORED, assigned_of, query, rounded, scored_of
+from .review_queries import KEY, LINE, OPEN_PRS, RANKED, REVIEWS, ROUND
 
 TITLES = [
     "Fix the parser (#12)", "[3.15] Fix the parser", "Bump serde to 1.2", "chore(release): 2.260.0", "Release v8.2.0", "Merge main to features/x", "tentacle: keep the lock",
@@ -253,3 +253,37 @@ PROMOTIONS = Input("orders", {"ord": "o_orderkey", "validation_delta": "CAST(o_c
 FROM {PROMOTIONS.sql} WINDOW w AS (ORDER BY ord ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
 def x4_overfitting(spark, sf_dir):
     return rounded(reports.overfitting(PROMOTIONS.df(spark, sf_dir)).select("ord", "alarm", "validation_total", "test_total"))
+
+
+OVER_SQL = "final_klass = 'vu' AND severity = 'nit' AND credit = 'fp'"
+
+
+@query(f"""{SCORED} SELECT CASE WHEN final_klass <> 'vu' THEN final_klass WHEN {OVER_SQL} THEN 'vu_over_cap' WHEN severity = 'important' AND judged_severity = 'nit' THEN 'vu_inflated' WHEN credit = 'vu' THEN 'vu_credited' ELSE 'vu_neutral' END AS kind,
+count(*) AS findings FROM scored GROUP BY 1""")
+def d2_scored_counts(spark, sf_dir):
+    return scoring.scored_counts(scored_of(spark, sf_dir))
+
+
+@query(f"""{SCORED} SELECT * FROM (SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY weight DESC, repo, number, round, finding_id) AS rank, repo, number, round, finding_id, CAST(weight AS DOUBLE) AS weight
+FROM (SELECT *, CASE WHEN {OVER_SQL} THEN 'nit_beyond_cap' ELSE 'false_positive' END AS kind FROM scored WHERE credit = 'fp')) WHERE rank <= 20""")
+def e13_charged_findings(spark, sf_dir):
+    return scoring.charged_findings(scored_of(spark, sf_dir), 20)
+
+
+@query(f"SELECT DISTINCT repo, number, round, finding_id FROM {RANKED.sql} WHERE bucket = 'dismissed' AND klass = 'tp' ORDER BY ALL LIMIT 20")
+def e13_false_dismissals(spark, sf_dir):
+    rows = RANKED.df(spark, sf_dir)
+    keys = [*ranking.ROUND, "finding_id"]
+    return ranking.false_dismissals(rows.select(*keys, "bucket").distinct(), rows.filter("bucket = 'dismissed'"), keys, 20)
+
+
+ISSUES_OF = Input("orders", {"repo": PRS.columns["repo"], "number": "o_orderkey", "issues": "CAST(o_custkey % 4 AS INT)", "important": "CAST(o_custkey % 2 AS INT)"}, "o_totalprice > 50000")
+
+
+@query(f"""{ASSIGNED}, g AS (SELECT a.split, a.language, a.corpus, p.source, i.issues, i.important FROM assigned a JOIN {PRS.sql} p USING (repo, number) LEFT JOIN {ISSUES_OF.sql} i USING (repo, number))
+SELECT split, language, count(*) FILTER (corpus = 'human' AND issues IS NOT NULL) AS gold_prs, count(*) FILTER (corpus = 'human' AND issues > 0) AS issue_prs, count(*) FILTER (corpus = 'human' AND important > 0) AS important_prs,
+CAST(coalesce(sum(issues) FILTER (corpus = 'human'), 0) AS BIGINT) AS issues, CAST(coalesce(sum(important) FILTER (corpus = 'human'), 0) AS BIGINT) AS important, count(*) FILTER (source <> 'benchmark' AND corpus = 'approval_only') AS clean_prs,
+count(*) FILTER (source <> 'benchmark' AND corpus = 'ai_feedback') AS ai_feedback_prs, count(*) FILTER (source = 'benchmark') AS benchmark_prs FROM g GROUP BY ALL""")
+def p9_split_counts(spark, sf_dir):
+    rows = assigned_of(spark, sf_dir).select("repo", "number", "split", "language", "corpus")
+    return splits.split_counts(rows.join(PRS.df(spark, sf_dir).select("repo", "number", "source"), ["repo", "number"]), ISSUES_OF.df(spark, sf_dir))
