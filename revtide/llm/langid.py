@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .shared import free_name, id_remainder, lucky_ids, small_batches, stage, table
 
 #: Labelled documents (about) that the model is fitted on, which bounds it; longest n-gram; words a worker remembers.
-SAMPLE_DOCS, LONGEST, REMEMBERED = 2_500, 4, 50_000
+SAMPLE_DOCS, LONGEST, REMEMBERED = 1_500, 4, 50_000
 SMOOTH, UNKNOWN = 0.5, "und"
 #: Runs of letters and of other signs that count as word characters, such as superscript figures, which are no letters.
 RUN, LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
