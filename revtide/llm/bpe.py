@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import lucky_ids, shared_folder, small_batches, stage, table
@@ -40,6 +40,8 @@ CHUNK_WORDS = 5_000_000
 ID = "<u2"
 #: Words that go back to the chunks in one batch; texts of a chunk that get their ids at once.
 PACKED_WORDS, TEXTS_AT_ONCE = 200_000, 500
+#: A longer word goes by its hash where its ids have a row each, so that such rows stay small.
+LONG_WORD = 64
 #: Buckets of the numbered texts for each partition of the input, and at most.
 BUCKETS_PER_PARTITION, MOST_BUCKETS = 4, 20_000
 
@@ -126,8 +128,17 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame(rows, columns=["id", "piece"]), "id int, piece string")
 
 
+def named(word: str) -> tuple[Column, Column]:
+    """The name that a word goes by (itself, or for a long one a blank and its hash: no word has a blank), and a long word."""
+    long = F.length(word) > LONG_WORD
+    return F.when(long, F.concat(F.lit(" "), F.sha2(word, 256))).otherwise(F.col(word)), F.when(long, F.col(word))
+
+
 def word_table(words: DataFrame, path: str) -> DataFrame:
-    """words (word), distinct -> (word, ids, decoded): encoded once each, decoded by joining their ids with the pieces."""
+    """words (name, long), distinct -> (name, ids, decoded): encoded once each, decoded by joining their ids with the pieces.
+
+    Every id of a word has a row of its own, which carries the name only.
+    """
 
     @F.pandas_udf("array<int>")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -136,22 +147,23 @@ def word_table(words: DataFrame, path: str) -> DataFrame:
             ids = tokenizer.encoded(some.tolist())
             yield pd.Series([np.frombuffer(ids[w], "<u4").astype(np.int32) for w in some])
 
-    exploded = words.select("word", F.posexplode_outer(encoded("word")).alias("at", "id"))
+    coded = words.select("name", encoded(F.coalesce("long", "name")).alias("ids"))
+    exploded = coded.select("name", F.posexplode_outer("ids").alias("at", "id"))
     joined = exploded.join(F.broadcast(pieces(words.sparkSession, path)), "id", "left")
     place = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("id").cast("long"))  # by which pieces sort
     parts = F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct(place.alias("place"), "piece"))))
-    found = joined.groupBy("word").agg(parts.alias("parts"))
+    found = joined.groupBy("name").agg(parts.alias("parts"))
     ids = F.transform("parts", lambda x: x["place"].bitwiseAND(F.lit(2**31 - 1)).cast("int"))
-    return found.select("word", ids.alias("ids"), F.array_join(F.transform("parts", lambda x: x["piece"]), " ").alias("decoded"))
+    return found.select("name", ids.alias("ids"), F.array_join(F.transform("parts", lambda x: x["piece"]), " ").alias("decoded"))
 
 
 class Head:
     """The frequent words, numbered from 0, with their ids one after the other and their decoded texts."""
 
     def __init__(self, words: list[str], found: pa.Table):
-        at = {w: i for i, w in enumerate(found["word"].to_pylist())}
+        at = {w: i for i, w in enumerate(found["name"].to_pylist())}
         found = found.take(pa.array([at[w] for w in words], pa.int64())).combine_chunks()
-        self.lengths = np.array(pc.list_value_length(found["ids"]), np.uint16)
+        self.lengths = np.array(pc.list_value_length(found["ids"]), np.uint32)
         self.ids = np.array(pc.list_flatten(found["ids"]), np.int32)
         self.words, self.said, self.size = "\n".join(words), "\n".join(found["decoded"].to_pylist()), len(words)
 
@@ -165,7 +177,7 @@ class Head:
 
 
 def frequent_words(docs: DataFrame, path: str, most: int = HEAD_WORDS) -> Head:
-    """The most frequent words of about SAMPLE_DOCS of docs (_text), at most `most` of them."""
+    """The most frequent words of about SAMPLE_DOCS of docs (_text), at most `most` of them and none that is long."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -173,9 +185,9 @@ def frequent_words(docs: DataFrame, path: str, most: int = HEAD_WORDS) -> Head:
             for i in range(0, len(found), 50_000):
                 yield pd.DataFrame({"word": pd.Series(found[i : i + 50_000], dtype=object)})
 
-    counts = lucky_ids(docs, SAMPLE_DOCS, "_text").mapInPandas(split, "word string").groupBy("word").count()
+    counts = lucky_ids(docs, SAMPLE_DOCS, "_text").mapInPandas(split, "word string").filter(F.length("word") <= LONG_WORD).groupBy("word").count()
     words = stage(counts.orderBy(F.desc("count"), "word").limit(most)).orderBy(F.desc("count"), "word").select("word")
-    return Head(words.toArrow()["word"].to_pylist(), word_table(words.repartition(HEAD_TASKS, "word"), path).toArrow())
+    return Head(words.toArrow()["word"].to_pylist(), word_table(words.select(F.col("word").alias("name"), F.lit(None).cast("string").alias("long")).repartition(HEAD_TASKS, "name"), path).toArrow())
 
 
 def numbered(docs: DataFrame, head, keep: list[str]) -> DataFrame:
@@ -246,7 +258,7 @@ def packed(found: DataFrame) -> DataFrame:
     def of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held).sort_by([("_of", "ascending"), ("_number", "ascending")]).combine_chunks()
         chunks, lists, decoded = np.array(rows["_of"]), rows["ids"].chunk(0), rows["decoded"].to_pylist()
-        numbers, lengths, ids = np.array(rows["_number"], "<u4"), np.array(pc.list_value_length(lists), "<u2"), np.array(pc.list_flatten(lists), ID)
+        numbers, lengths, ids = np.array(rows["_number"], "<u4"), np.array(pc.list_value_length(lists), "<u4"), np.array(pc.list_flatten(lists), ID)
         ends = np.cumsum(lengths)
         first = np.flatnonzero(np.r_[True, chunks[1:] != chunks[:-1]])
         columns: list[list] = [[], [], [], []]
@@ -274,16 +286,17 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] |
     head = spark.sparkContext.broadcast(frequent_words(rows, path, HEAD_WORDS))
     buckets = min(MOST_BUCKETS, BUCKETS_PER_PARTITION * max(1, rows.rdd.getNumPartitions()))
     chunks, unordered = bucketed(numbered(rows, head, plain), "_chunk", buckets)
-    words = unordered.filter("_word IS NOT NULL").select(F.col("_chunk").alias("_of"), "_number", F.col("_word").alias("word")).repartition("word")
+    name, long = named("_word")
+    words = unordered.filter("_word IS NOT NULL").select(F.col("_chunk").alias("_of"), "_number", name.alias("name"), long.alias("long")).repartition("name")
     # the aggregate reads all columns, so that the words go through one exchange for it and for the join
-    distinct = words.groupBy("word").agg(F.min(F.struct("_of", "_number")).alias("first")).filter("first IS NOT NULL").select("word")
-    found = words.join(word_table(distinct, path), "word").select("_of", "_number", "ids", "decoded")
+    distinct = words.groupBy("name").agg(F.min(F.struct("_of", "_number")).alias("first"), F.max("long").alias("long")).filter("first IS NOT NULL").select("name", "long")
+    found = words.join(word_table(distinct, path), "name").select("_of", "_number", "ids", "decoded")
     found = packed(found)
 
     def assemble(texts: pa.Table, tail: pa.Table) -> pa.Table:
         h = head.value
         column = lambda name, kind: np.frombuffer(b"".join(tail[name].to_pylist()), kind)
-        own, ids = column("lengths", "<u2").astype(np.int64), column("ids", ID).astype(np.int32)
+        own, ids = column("lengths", "<u4").astype(np.int64), column("ids", ID).astype(np.int32)
         order = np.argsort(column("numbers", "<u4"))
         begins = (np.cumsum(own) - own)[order] + len(h.ids)
         head_own = h.lengths.astype(np.int64)

@@ -6,8 +6,11 @@ with other separators, and any token with a digit. The words around an occurrenc
 before, the two words before, and the words before and after. Over the graph of patterns and instances, pattern
 confidence (the share of a pattern's occurrences that are known to be of a kind) and instance scores (by the kind of
 pattern, the mean confidence over an instance's occurrences; the best of the three) are computed in turn, for ROUNDS
-rounds. Unseen instances that reach ACCEPT under a pattern as sure become further spans. What a base pattern matches
-and its check refuses (a number that fails Luhn) is no personal data: it lowers a pattern's confidence and isn't added.
+rounds. Unseen instances that reach ACCEPT under a pattern as sure become further spans. What a kind's base pattern
+matches and its check refuses (a number that fails Luhn) isn't of that kind: it lowers a pattern's confidence and isn't
+added as that kind.
+
+Spans of a text are rows that carry the row's number and nothing else of it, however many they are.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .shared import stage, table
@@ -63,19 +67,20 @@ def matches(text: Column, pattern: str, trigger: str, kind: str, rank: int) -> C
         ).cast(SPAN)
         return F.struct(end.cast("int").alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    def block(acc: Column, some: Column) -> Column:
-        inner = F.aggregate(some, F.struct(acc["at"].alias("at"), none.alias("spans")), add)
-        return F.transform(F.array(inner), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["spans"], x["spans"]).alias("spans")))[0]
-
     def positions(x: Column) -> Column:
-        """Block by block, so that long arrays aren't copied for every match."""
+        """Block by block, so that long arrays aren't copied for every match: where each block begins, then its matches."""
         n = F.size(x["found"])
         gap = lambda i: F.get(x["gaps"], i)
         pairs = F.transform(x["found"], lambda m, i: F.struct(m.alias("match"), gap(i).alias("before"), gap(i + 1).alias("after")))
         starts = F.filter(F.sequence(F.lit(0), n, F.lit(BLOCK)), lambda b: b < n)
         blocks = lambda p: F.transform(starts, lambda b: F.slice(p, b + 1, F.lit(BLOCK)))
-        whole = F.transform(F.array(pairs), blocks)[0]
-        return F.aggregate(whole, F.struct(F.lit(0).alias("at"), none.alias("spans")), block, lambda acc: acc["spans"])
+        return F.flatten(F.transform(F.transform(F.array(pairs), blocks), placed)[0])
+
+    def placed(blocks: Column) -> Column:
+        length = lambda some: F.aggregate(some, F.lit(0), lambda n, p: n + F.length(p["before"]) + F.length(p["match"]))
+        begins = F.aggregate(F.transform(blocks, length), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.get(acc, F.size(acc) - 1) + n)))
+        inner = lambda some, at: F.aggregate(some, F.struct(at.alias("at"), none.alias("spans")), add, lambda acc: acc["spans"])
+        return F.zip_with(blocks, F.slice(begins, 1, F.size(blocks)), inner)
 
     spans = F.transform(F.array(F.struct(found.alias("found"), gaps.alias("gaps"))), positions)[0]
     return F.when(text.rlike(trigger), spans).otherwise(none)
@@ -115,21 +120,21 @@ def digest_form(spans: Column) -> Column:
 
 
 def learn(occurrences: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """occurrences (value, kind or null, refused, patterns) -> accepted instances (value, kind), sure patterns (pattern, kind).
+    """occurrences (value, kind or null, patterns) -> accepted instances (value, kind), sure patterns (pattern, kind).
 
     A seed that is found as several kinds counts as the last of them by name.
     """
-    each = occurrences.select("value", "kind", "refused", F.explode("patterns").alias("pattern"))
-    edges = each.groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("kind").alias("kind"), F.max("refused").alias("refused"))
+    each = occurrences.select("value", "kind", F.explode("patterns").alias("pattern"))
+    edges = each.groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("kind").alias("kind"))
     edges = stage(edges)
     seeds = edges.filter("kind IS NOT NULL").groupBy("value").agg(F.max("kind").alias("kind")).withColumn("score", F.lit(1.0))
     totals = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
-    unknown = edges.filter("NOT refused").drop("kind", "refused").join(seeds, "value", "left_anti")
+    unknown = edges.drop("kind").join(seeds, "value", "left_anti")
     sort = F.substring("pattern", 1, 1).alias("sort")  # which of the three
     weight = unknown.groupBy("value", sort).agg(F.sum("n").alias("weight"))
     known = seeds
     for _ in range(ROUNDS):
-        hits = edges.drop("kind", "refused").join(known, "value").groupBy("pattern", "kind").agg(
+        hits = edges.drop("kind").join(known, "value").groupBy("pattern", "kind").agg(
             F.sum(F.col("n") * F.col("score")).alias("hit"), F.sum(F.when(F.col("score") == 1.0, 1).otherwise(0)).alias("support")
         )
         patterns = hits.join(totals, "pattern").withColumn("sure", F.col("hit") / F.col("total"))
@@ -144,9 +149,10 @@ def learn(occurrences: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def looks_like(value: Column, kind: Column) -> Column:
+    """Whether a value has the form of a kind and isn't what the kind's base pattern matched and its check refused."""
     out = F.lit(False)
     for k, form in FORMS.items():
-        out = F.when(kind == k, value.rlike(form)).otherwise(out)
+        out = F.when(kind == k, value.rlike(form) & ~value.rlike(f"^(?:{PATTERNS[k]})$")).otherwise(out)
     return out
 
 
@@ -170,18 +176,22 @@ def find_spans(docs: DataFrame, text_col: str = "text", columns: list[str] | Non
         base_spans(text).alias("base"), matches(text, LOOSE, LOOSE_TRIGGER, "candidate", 9).alias("loose"),
     )
     rows = stage(rows)
-    both = rows.filter("size(base) + size(loose) > 0").select("_row", "base", F.explode(F.concat("base", "loose")).alias("t"))
+    each = rows.select("_row", F.explode(F.concat("base", "loose")).alias("t"))
     seed = F.col("t.kind") != "candidate"
     value = F.when(seed, F.col("t.value")).otherwise(F.regexp_replace(F.col("t.value"), r"[^\p{L}\p{N}]+$", ""))
-    end = F.col("t.start") + F.length(value)
-    over = F.exists("base", lambda b: (b["start"] < end) & (b["end"] > F.col("t.start")))
-    base_form = F.lit("^(?:" + "|".join(PATTERNS.values()) + ")$")
-    occurrences = both.filter(seed | ~over).select(
-        "_row", F.col("t.start").alias("start"), end.alias("end"), value.alias("value"), F.when(seed, F.col("t.kind")).alias("kind"),
-        (~seed & F.rlike(value, base_form)).alias("refused"), lexical_patterns(F.col("t.before"), F.col("t.after")).alias("patterns"),
+    spans = each.select(
+        "_row", F.col("t.start").alias("start"), (F.col("t.start") + F.length(value)).alias("end"), value.alias("value"),
+        F.when(seed, F.col("t.kind")).alias("kind"), lexical_patterns(F.col("t.before"), F.col("t.after")).alias("patterns"),
     )
+    # a candidate overlaps a base span that begins up to its start and ends after it, or the next one that begins before its end
+    upto = Window.partitionBy("_row").orderBy("start")
+    after = Window.partitionBy("_row").orderBy(F.desc("start"))
+    base_end = F.max(F.when(F.col("kind").isNotNull(), F.col("end"))).over(upto)
+    base_start = F.min(F.when(F.col("kind").isNotNull(), F.col("start"))).over(after)
+    over = F.coalesce(base_end > F.col("start"), F.lit(False)) | F.coalesce(base_start < F.col("end"), F.lit(False))
+    occurrences = stage(spans.withColumn("_over", over).filter("kind IS NOT NULL OR NOT _over").drop("_over"))
     accepted, sure = learn(occurrences)
-    new = occurrences.filter("kind IS NULL AND NOT refused").drop("kind").join(accepted, "value")
+    new = occurrences.filter("kind IS NULL").drop("kind").join(accepted, "value")
     new = new.select("_row", "start", "end", "value", "kind", F.explode("patterns").alias("pattern")).join(sure, ["pattern", "kind"])
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
     span = F.struct("start", rank.alias("rank"), "kind", "end", "value", F.lit("").alias("before"), F.lit("").alias("after")).cast(SPAN)
@@ -191,16 +201,33 @@ def find_spans(docs: DataFrame, text_col: str = "text", columns: list[str] | Non
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """text with every span replaced by its kind in brackets; of overlapping spans the first counts."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """text with every span replaced by its kind in brackets; of overlapping spans the first counts.
+
+    Spans are worked off in blocks: the text of a block is cut out once, and its pieces are found from its beginning.
+    """
+    begin = lambda at: F.struct(at.cast("int").alias("at"), F.lit("").alias("out"))
+
+    def block(acc: Column, some: Column) -> Column:
+        first, last = acc["at"], F.array_max(F.transform(some, lambda s: s["end"]))
+        part = F.substring(text, first + 1, F.greatest(last - first, F.lit(0)))
+
+        def within(x: Column) -> Column:
+            def add(inner: Column, s: Column) -> Column:
+                kept = F.substring(x["part"], inner["at"] - x["first"] + 1, s["start"] - inner["at"])
+                out = F.concat(inner["out"], kept, F.lit("["), F.upper(s["kind"]), F.lit("]"))
+                return F.when(s["start"] < inner["at"], inner).otherwise(F.struct(s["end"].alias("at"), out.alias("out")))
+
+            return F.aggregate(x["some"], begin(x["first"]), add)
+
+        done = F.transform(F.array(F.struct(part.alias("part"), first.alias("first"), some.alias("some"))), within)
+        return F.transform(done, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], x["out"]).alias("out")))[0]
 
-    def add(acc: Column, s: Column) -> Column:
-        kept = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        out = F.concat(acc["out"], kept, F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), out.alias("out")))
+    def blocks(ordered: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(ordered), F.lit(BLOCK)), lambda b: b < F.size(ordered))
+        return F.transform(starts, lambda b: F.slice(ordered, b + 1, F.lit(BLOCK)))
 
     rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.aggregate(F.array_sort(spans), start, add, rest)
+    return F.aggregate(F.transform(F.array(F.array_sort(spans)), blocks)[0], begin(F.lit(0)), block, rest)
 
 
 def mask_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
