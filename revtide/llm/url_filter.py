@@ -48,6 +48,8 @@ PATTERNS = [
     )
 ]
 RULES = SITES + PATTERNS
+#: So many rules (or tokens of rules) are broadcast; more are joined, with the urls of a token dealt over SPREAD salts.
+BROADCAST_RULES, SPREAD = 100_000, 16
 DEFAULT = "allow"
 
 
@@ -80,6 +82,14 @@ def tokens(place: Column) -> Column:
     return F.array_distinct(F.concat(F.split(F.lower(place), "[^a-z0-9]+"), F.array(F.lit(""))))
 
 
+def by_token(places: DataFrame, filed: DataFrame, size: int) -> DataFrame:
+    """places (_place, token) with what is filed under their tokens; `filed` has `size` rows."""
+    if size <= BROADCAST_RULES:
+        return places.join(F.broadcast(filed), "token")
+    every = filed.withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return places.withColumn("_spread", salt("_place", salts=SPREAD)).join(every, ["token", "_spread"]).drop("_spread")
+
+
 def rule_index(places: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """(token, regex, site, verdict, site_first, length, pattern) of every rule, filed under its rarest token.
 
@@ -88,7 +98,7 @@ def rule_index(places: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     spark = places.sparkSession
     literal = sorted({t for r in rules for t in tokens_of(r.pattern)})
     wanted = spark.createDataFrame([(t,) for t in literal], "token string")
-    found = places.select(F.explode(tokens(F.col("_place"))).alias("token")).join(wanted, "token", "left_semi")
+    found = by_token(places.withColumn("token", F.explode(tokens(F.col("_place")))), wanted, len(literal))
     counts = dict(found.groupBy("token").count().collect())
     rows = []
     for r in rules:
@@ -117,7 +127,7 @@ def judge(
     rows = urls.select(row.alias("_row"), host.alias("host"), path.alias("path"))
     rows = rows.select("*", F.concat("host", "path").alias("_place"), salt("_row").alias("_salt"))
     places = rows.select("_place").distinct()
-    fetched = places.withColumn("token", F.explode(tokens(F.col("_place")))).join(rule_index(places, rules), "token")
+    fetched = by_token(places.withColumn("token", F.explode(tokens(F.col("_place")))), rule_index(places, rules), len(rules))
     order = F.struct("site_first", "length", F.col("verdict") == "block", "pattern", "verdict", "site")
     best = fetched.filter("rlike(_place, regex)").groupBy("_place").agg(F.max(order).alias("_best"))
     spread = rows.select("_place", "_salt").distinct().join(best, "_place", "left")
