@@ -10,6 +10,7 @@ multiplies a few blocks and only their small products are summed. Whitened rows
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
@@ -36,7 +37,9 @@ LEAST_SHARE = 1e-12
 
 
 def whole(vector: Column) -> Column:
-    return F.transform(vector, lambda c: F.floor(c.cast("double") * SCALE) + SHIFT)
+    # rows that take no part may come here too: their entries need some value
+    small = lambda c: F.when(F.abs(c) < LARGEST, c).otherwise(0).cast("double")
+    return F.transform(vector, lambda c: F.floor(small(c) * SCALE) + SHIFT)
 
 
 def usable(vector: Column) -> Column:
@@ -69,7 +72,7 @@ def chunks(fit: DataFrame, n: int, mean: list[float]) -> list[tuple[int, BlockMa
         own = fit.filter(F.col("_index").between(first, first + CHUNK - 1))
         vectors = own.select((F.col("_index") - first).alias("index"), array_to_vector(centred).alias("vector"))
         matrix = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "vector"), min(CHUNK, n - first), len(mean))
-        out.append((first, matrix.toBlockMatrix(rows, len(mean))))
+        out.append((first, matrix.toBlockMatrix(rows, len(mean)).persist(StorageLevel.MEMORY_AND_DISK)))
     return out
 
 
@@ -119,13 +122,16 @@ def whiten(
     basis = vectors[:, :kept] / np.sqrt(values[:kept])
     block = Matrices.dense(width, kept, basis.ravel("F").tolist())
     right = BlockMatrix(rows.sparkSession.sparkContext.parallelize([((0, 0), block)], 1), width, kept)
-    projected = [(first, product(m, right, 1)) for first, m in parts]
+    projected = [(first, product(m, right, 1).persist(StorageLevel.MEMORY_AND_DISK)) for first, m in parts]
     error = float(np.abs(inner([m for _, m in projected]) / n - np.eye(kept)).max())
     found = None
     for first, m in projected:
         part = callMLlibFunc("getIndexedRows", m.toIndexedRowMatrix()._java_matrix_wrapper._java_model)
         part = part.select((F.col("index") + first).alias("_index"), vector_to_array("vector").alias("_white"))
         found = part if found is None else found.unionAll(part)
+    found = stage(found)
+    for _, m in parts + projected:
+        m._java_matrix_wrapper._java_model.blocks().unpersist(False)
     wide = lambda c: c.cast("decimal(38,0)")
     total = F.array(*(F.lit(s).cast("decimal(38,0)") for s in sums))
     squares = F.zip_with("_x", total, lambda x, s: (wide(wide(x) * n) - s))
