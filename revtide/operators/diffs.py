@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,28 +14,52 @@ CHANGES = (
     "deleted array<int>, inserted_after array<int>, new_ranges array<struct<start:int,end:int>>, "
     "added array<string>, removed array<string>, sections array<string>"
 )
+HUNKS = (
+    "array<struct<number:int,old_start:int,old_count:int,new_start:int,new_count:int,section:string,"
+    "inserted_after:array<int>,lines:array<struct<tag:string,old:int,new:int,text:string>>>>"
+)
+
+
+def hunks_of(patch: str | None) -> list[tuple]:
+    """HUNKS of one patch: every line with its tag and its number in the old and the new file, where it is in them.
+
+    inserted_after are the old lines after which lines are put in without replacing the line before.
+    """
+    out, lines, inserted, old, new, replacing = [], [], [], 0, 0, False
+    for line in (patch or "").splitlines():
+        head = HUNK.match(line) if line[:2] == "@@" else None
+        tag = line[:1] or " "
+        if head:
+            starts = [1 if x is None else int(x) for x in head.groups()[:4]]
+            # an empty side is named by the line before it
+            old, new, replacing, lines, inserted = starts[0] + (starts[1] == 0), starts[2] + (starts[3] == 0), False, [], []
+            out.append((len(out) + 1, *starts, head[5].strip(), inserted, lines))
+        elif out and tag == "+":
+            if not replacing and inserted[-1:] != [old - 1]:
+                inserted.append(old - 1)
+            lines.append((tag, None, new, line[1:]))
+            new += 1
+        elif out and tag in " -":
+            replacing = tag == "-"
+            lines.append((tag, old, None if replacing else new, line[1:]))
+            old, new = old + 1, new + (not replacing)
+    return out
 
 
 def changes_of(patch: str | None) -> tuple:
     """Old lines deleted or replaced, old lines after which lines are inserted, new ranges, added and removed lines, sections."""
-    parts = HUNK.split("\n".join((patch or "").splitlines()))
-    out: tuple[list, ...] = ([], [], [], [], [], [])
-    for i in range(1, len(parts), 6):
-        old, old_n, new, new_n = (1 if x is None else int(x) for x in parts[i : i + 4])
-        lines = [x for x in parts[i + 5].split("\n")[1:] if x[:1] in " -+"]
-        tags = np.array([x[:1] or " " for x in lines], "U1")
-        in_old = tags != "+"
-        number = old + (old_n == 0) + np.cumsum(in_old) - in_old  # of the old line, or of the next one
-        last = np.maximum.accumulate(np.where(in_old, np.arange(len(tags)), -1)) if len(tags) else in_old
-        pure = np.array([a < 0 or tags[a] != "-" for a in last], bool)  # no deleted line right before
-        out[0].extend(number[tags == "-"].tolist())
-        out[1].extend(np.unique(number[(tags == "+") & pure] - 1).tolist())
-        begin = new + (new_n == 0)
-        out[2].append({"start": begin, "end": max(begin, begin + new_n - 1)})
-        for column, tag in ((3, "+"), (4, "-")):
-            out[column].extend(x[1:] for x in lines if x[:1] == tag)
-        out[5].append(parts[i + 4].strip())
-    return out
+    hunks = hunks_of(patch)
+    every = [x for h in hunks for x in h[7]]
+    begins = [(new + (count == 0), count) for _, _, _, new, count, *_ in hunks]
+    return (
+        [old for tag, old, _, _ in every if tag == "-"], [at for h in hunks for at in h[6]], [(b, max(b, b + n - 1)) for b, n in begins],
+        [text for tag, *_, text in every if tag == "+"], [text for tag, *_, text in every if tag == "-"], [h[5] for h in hunks],
+    )
+
+
+def hunk_lines(patch: str) -> Column:
+    """HUNKS of a column of patches; a null patch has none."""
+    return F.pandas_udf(lambda patches: pd.Series([hunks_of(p) for p in patches], dtype=object), HUNKS)(F.col(patch))
 
 
 def _changes(patches: pd.Series) -> pd.DataFrame:
