@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import running_sum, value_bucket
 
+#: Groups (splits) whose levels are broadcast at most.
+GROUPS = 10_000
+
 
 def usage_by(ledger: DataFrame, *by: str) -> DataFrame:
     """ledger (stage, run_id, at, cached, ok, tokens, cost, seconds) -> one row per group and, by rollup, a total."""
@@ -123,6 +126,34 @@ def concentration(rows: DataFrame, group: str, member: str, cap: float) -> DataF
     return counts.withColumn("share", share).withColumn("factor", F.least(F.lit(1.0), F.lit(cap) / F.col("share")))
 
 
+def capped_weights(rows: DataFrame, group: str, member: str, weight: str, cap: float) -> DataFrame:
+    """(group, member, weight, share, factor, capped_share): factors that bring each member's share down to the cap.
+
+    Weights above a level are taken down to it, so that after that none has a share over the cap: with k members over the
+    level and R the weight of the rest, it is cap R / (1 - cap k), for the smallest k whose next weight is no higher. Only
+    the first 1 / cap members of a group can be over it. If a group has too few members for the cap, all get the least
+    weight (equal shares, still over the cap). A null weight counts as 0; a group without weight has null shares.
+    """
+    most = int(1 / cap) + 1
+    weights = rows.groupBy(group, member).agg(F.coalesce(F.sum(weight), F.lit(0.0)).cast("double").alias("weight"))
+    totals = weights.groupBy(group).agg(F.sum("weight").alias("_sum"), F.min("weight").alias("_least"), F.count("*").alias("_members"))
+    turn = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("weight"), member))
+    top = weights.withColumn("_turn", turn).filter(F.col("_turn") <= most).groupBy(group).agg(F.array_sort(F.collect_list(-F.col("weight"))).alias("_top"))
+    high = lambda k: F.coalesce(-F.get("_top", k), F.lit(0.0))  # noqa: E731  the weight after the first k
+    rest = lambda k: F.col("_sum") + F.aggregate(F.slice("_top", 1, k), F.lit(0.0), lambda s, x: s + x)
+    open_ks = F.filter(F.sequence(F.lit(0), F.lit(most)), lambda k: k * cap < 1)
+    levels = F.transform(open_ks, lambda k: F.struct((cap * rest(k) / (1 - cap * k)).alias("level"), high(k).alias("next")))
+    level = F.get(F.filter(levels, lambda x: x["next"] <= x["level"]), 0)["level"]
+    enough = F.col("_members") * cap >= 1
+    found = totals.join(top, group).select(group, "_sum", F.when(enough, level).otherwise(F.col("_least")).alias("_level"))
+    joined = weights.join(F.broadcast(found) if found.count() <= GROUPS else found, group)
+    factor = F.when(F.col("weight") > F.col("_level"), F.col("_level") / F.col("weight")).otherwise(1.0)
+    level_sums = joined.groupBy(group).agg(F.sum(F.least("weight", "_level")).alias("_after"))
+    joined = joined.join(level_sums, group)
+    part = lambda x, whole: F.when(F.col(whole) > 0, x / F.col(whole))
+    return joined.select(group, member, "weight", part(F.col("weight"), "_sum").alias("share"), factor.alias("factor"), part(F.least("weight", "_level"), "_after").alias("capped_share"))
+
+
 def label_report(judged: DataFrame) -> DataFrame:
     """Threads by author kind, outcome and polarity, with totals of each level (null names) and the share of all threads."""
     counts = judged.groupBy("author_kind", "judged_outcome", "polarity").agg(F.count("*").alias("_n"))
