@@ -287,10 +287,12 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] |
     buckets = min(MOST_BUCKETS, BUCKETS_PER_PARTITION * max(1, rows.rdd.getNumPartitions()))
     chunks, unordered = bucketed(numbered(rows, head, plain), "_chunk", buckets)
     name, long = named("_word")
-    words = unordered.filter("_word IS NOT NULL").select(F.col("_chunk").alias("_of"), "_number", name.alias("name"), long.alias("long")).repartition("name")
-    # the aggregate reads all columns, so that the words go through one exchange for it and for the join
-    distinct = words.groupBy("name").agg(F.min(F.struct("_of", "_number")).alias("first"), F.max("long").alias("long")).filter("first IS NOT NULL").select("name", "long")
-    found = words.join(word_table(distinct, path), "name").select("_of", "_number", "ids", "decoded")
+    spoken = unordered.filter("_word IS NOT NULL")
+    words = spoken.select(F.col("_chunk").alias("_of"), "_number", name.alias("name")).repartition("name")
+    # the aggregate reads all columns, so that the words go through one exchange for it and for the join; long words, which are few, on their own
+    distinct = words.groupBy("name").agg(F.min(F.struct("_of", "_number")).alias("first")).filter("first IS NOT NULL").select("name")
+    longs = spoken.filter(long.isNotNull()).groupBy(name.alias("name")).agg(F.max("_word").alias("long"))
+    found = words.join(word_table(distinct.join(longs, "name", "left"), path), "name").select("_of", "_number", "ids", "decoded")
     found = packed(found)
 
     def assemble(texts: pa.Table, tail: pa.Table) -> pa.Table:
