@@ -52,7 +52,7 @@ def changes_of(patch: str | None) -> tuple:
     every = [x for h in hunks for x in h[7]]
     begins = [(new + (count == 0), count) for _, _, _, new, count, *_ in hunks]
     return (
-        [old for tag, old, _, _ in every if tag == "-"], [at for h in hunks for at in h[6]], [(b, max(b, b + n - 1)) for b, n in begins],
+        [old for tag, old, _, _ in every if tag == "-"], [at for h in hunks for at in h[6]], [{"start": b, "end": max(b, b + n - 1)} for b, n in begins],
         [text for tag, *_, text in every if tag == "+"], [text for tag, *_, text in every if tag == "-"], [h[5] for h in hunks],
     )
 
