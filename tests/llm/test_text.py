@@ -126,6 +126,31 @@ def test_main_text(markup, text):
     assert html_text.main_text(markup, set()) == text
 
 
+@pytest.mark.parametrize(
+    "markup, text",
+    [
+        ("<div class='entry has-sidebar'><article><p>body one</p></article></div>", "body one"), ("<div class='content no-sidebar'><p>body</p></div>", "body"), ("<div class='post-with-ads'><p>body</p></div>", "body"),
+        ("<div class='news-notice'><p>body</p></div>", "body"), ("<div class='press-related'><p>body</p></div>", "body"), ("<form action='/'><div><h1>T</h1><p>the body of the page</p></div></form>", "T\n\nthe body of the page"),
+        ("<form><main><p>body</p></main></form><p>x</p>", "body"), ("<nav>menu<p>body</p>", "body"), ("<aside>note<div><p>body</p></div>", "body"), ("<div role=complementary><main><p>body</p></main></div>", "body"),
+        ("<div class='widget'><article><p>the article</p></article></div><div class='widget'>w</div>", "the article"), ("<div class=comments>" + "long comment " * 50 + "</div><article><p>short</p></article>", "short"),
+        ("<div class='site-nav'>n</div><div class='sidebar-left'>s</div><div class='main-menu'>m</div><div class='cookie_notice'>c</div><p>body of some length</p>", "s\n\nbody of some length"),
+    ],
+)
+def test_no_element_that_holds_the_article_is_hidden(markup, text):
+    assert html_text.main_text(page(markup), set()) == text == html_text.main_text(markup, set())
+
+
+def test_counts_decide_where_a_host_has_pages(spark):
+    """A class name that a small host would lose its text by; comments, which differ on every page, go on both."""
+    of = lambda i: page(f"<div class='widget'><p>Text {i} of the page, {'w ' * (i % 7)}</p></div><div class='menu'>all the same</div><div class=comments><p>{i}</p>{'<b>c</b>' * i}</div>")
+    rows = [(i, "http://big.example.com/", of(i)) for i in range(30)] + [(99, "http://small.example.com/", of(99))]
+    names = {c: F.lit("clash") for c in ("_host", "_template", "_salt", "_html", "_doc", "n_chars")}
+    found = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumns(names))
+    assert found.columns == ["page_id", "url", "html", "_host", "_template", "_salt", "_html", "_doc", "text", "n_chars"]
+    got = {r.page_id: r.text for r in found.collect()}
+    assert all(got[i] == f"Text {i} of the page, {'w ' * (i % 7)}".strip() for i in range(30)) and got[99] == ""
+
+
 def test_site_templates_go(spark):
     box = "<div class='x'>Read our rules here</div>"
     rows = [(i, f"http://h{i % 2}.example.com/{i}", page(f"<div>{box}<p>Page {i}</p></div>")) for i in range(40)]
