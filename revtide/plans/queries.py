@@ -578,13 +578,13 @@ def common_rounds(spark, sf_dir):
 
 @query(f"""{BOTH_RUNS}, {paired_sql()},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY sha256('boot' || chr(0) || {KEY_SQL})) AS rank, count(*) OVER (PARTITION BY language) AS n FROM paired),
-slots AS (SELECT language, sample, {DRAW} AS rank FROM ranked, range(1, 51) AS b(sample)),
+slots AS (SELECT language, sample, {DRAW} AS rank FROM ranked, range(1, 1001) AS b(sample)),
 drawn AS (SELECT s.sample, 1 AS times, r.* FROM slots s JOIN ranked r USING (language, rank)), {deltas_sql('drawn', 'sampled')},
 once AS (SELECT 0 AS sample, 1 AS times, * FROM paired), {deltas_sql('once', 'whole')}
 SELECT (SELECT round(delta, 6) FROM whole) AS delta, round(quantile_cont(delta, 0.025), 6) AS low, round(quantile_cont(delta, 0.975), 6) AS high,
 round(stddev_pop(delta), 6) AS sd, count(*) AS resamples FROM sampled""")
 def e6_paired_bootstrap(spark, sf_dir):
-    return rounded(resampling.paired_bootstrap(*common_rounds(spark, sf_dir), SCORING, 50, "boot"))
+    return rounded(resampling.paired_bootstrap(*common_rounds(spark, sf_dir), SCORING, 1000, "boot"))
 
 
 @query(f"""{BOTH_RUNS}, p AS (SELECT DISTINCT repo, number, language FROM scored_t), k AS (SELECT repo, number FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY sha256('screen' || chr(0) || {KEY_SQL})) AS rank,
