@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import running_sum, value_bucket
+from ..functions.ranks import ranked, running_sum, value_bucket
 
 #: Groups (splits) whose levels are broadcast at most.
 GROUPS = 10_000
@@ -109,14 +109,19 @@ def lesson_stage(firings: DataFrame, today: Column) -> DataFrame:
 
 
 def overfitting(promotions: DataFrame, run: int = 3) -> DataFrame:
-    """promotions (ord, validation_delta, test_delta): alarm where validation rose and test fell over `run` promotions."""
-    w = Window.orderBy("ord")
-    recent = w.rowsBetween(-(run - 1), 0)
+    """promotions (ord, validation_delta, test_delta): alarm where validation rose and test fell over `run` promotions.
+
+    Ranks and running sums are taken range by range of ord; a promotion then counts for itself and the `run` - 1 after it.
+    """
     apart = ((F.col("validation_delta") > 0) & (F.col("test_delta") < 0)).cast("int")
-    alarm = (F.sum(apart).over(recent) == run) & (F.count("*").over(recent) == run)
-    return promotions.withColumns(
-        {"validation_total": F.sum("validation_delta").over(w), "test_total": F.sum("test_delta").over(w), "alarm": alarm}
-    )
+    rows = value_bucket(promotions.withColumns({"_every": F.lit(1), "_apart": apart}), "ord")
+    rows = ranked(rows, "_every", F.col("_range"), ["ord"], "_rank", "_size").drop("_size")
+    for name in ("validation", "test"):
+        delta = f"{name}_delta"
+        rows = running_sum(rows, ["_every"], F.col("_range"), ["_rank"], delta, "_before", "_whole").withColumn(f"{name}_total", F.col("_before") + F.col(delta)).drop("_before", "_whole")
+    recent = rows.select(F.explode(F.sequence(F.col("_rank"), F.col("_rank") + run - 1)).alias("_rank"), "_apart").groupBy("_rank").agg(F.sum("_apart").alias("_n"))
+    found = rows.join(recent, "_rank").withColumn("alarm", F.col("_n") == run)
+    return found.select(*promotions.columns, "validation_total", "test_total", "alarm")
 
 
 def concentration(rows: DataFrame, group: str, member: str, cap: float) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import ranked, running_sum
+
 REVIEW_KINDS = ("human", "ai")
 DISMISSED = ("thumbs_down", "resolved_no_change", "ignored")
 PROVENANCE = ("applied_suggestion", "human_fixed", "human_open_at_merge", "judge_only")
@@ -118,14 +120,17 @@ def select_rounds(rounds: DataFrame, most: int) -> DataFrame:
 
 
 def threads_before(prs: DataFrame, threads: DataFrame, most: int) -> DataFrame:
-    """For each PR (repo, number, path, created_at) the latest `most` earlier threads of its repo and path."""
-    place = Window.partitionBy("repo", "path")
-    known = threads.select("repo", "path", "thread_id", "created_at").withColumn("_seq", F.row_number().over(place.orderBy("created_at", F.desc("thread_id"))))
+    """For each PR (repo, number, path, created_at) the latest `most` earlier threads of its repo and path.
+
+    PRs and threads of a path are brought into one order, so that no pairs of them are made: how many threads came before
+    a PR tells which are its last. Times are text that begins with a day; a path's rows are sorted a day at a time.
+    """
+    day, place = F.substring("created_at", 1, 10), F.concat_ws("\0", "repo", "path")
+    known = ranked(threads.select("repo", "path", "thread_id", "created_at", place.alias("_place")), "_place", day, ["created_at", F.desc("thread_id")], "_seq", "_all").drop("_all")
     asked = prs.select("repo", "number", "path", "created_at").withColumn("_thread", F.lit(0))
-    # PRs and threads of a path in one order: how many threads came before, not all pairs of them
     both = asked.unionByName(known.select("repo", "path", "created_at").withColumn("_thread", F.lit(1)), allowMissingColumns=True)
-    upto = F.sum("_thread").over(place.orderBy("created_at", "_thread").rowsBetween(Window.unboundedPreceding, 0))
-    seen = both.withColumn("_upto", upto).filter("_thread = 0 AND _upto > 0").select("repo", "number", "path", "_upto")
+    counted = running_sum(both, ["repo", "path"], day, ["created_at", "_thread"], "_thread", "_upto", "_all")
+    seen = counted.filter("_thread = 0 AND _upto > 0").select("repo", "number", "path", "_upto")
     last = seen.withColumn("_seq", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_upto") - most + 1), F.col("_upto"))))
-    found = last.join(known.drop("created_at"), ["repo", "path", "_seq"])
+    found = last.join(known.drop("created_at", "_place"), ["repo", "path", "_seq"])
     return found.select("repo", "number", "path", "thread_id", (F.col("_upto") - F.col("_seq") + 1).cast("int").alias("rank"))
