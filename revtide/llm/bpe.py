@@ -134,7 +134,7 @@ def named(word: str) -> tuple[Column, Column]:
     return F.when(long, F.concat(F.lit(" "), F.sha2(word, 256))).otherwise(F.col(word)), F.when(long, F.col(word))
 
 
-def word_table(words: DataFrame, path: str) -> DataFrame:
+def named_table(words: DataFrame, path: str) -> DataFrame:
     """words (name, long), distinct -> (name, ids, decoded): encoded once each, decoded by joining their ids with the pieces.
 
     Every id of a word has a row of its own, which carries the name only.
@@ -157,6 +157,13 @@ def word_table(words: DataFrame, path: str) -> DataFrame:
     return found.select("name", ids.alias("ids"), F.array_join(F.transform("parts", lambda x: x["piece"]), " ").alias("decoded"))
 
 
+def word_table(words: DataFrame, path: str) -> DataFrame:
+    """words (word), distinct -> (word, ids, decoded)."""
+    name, long = named("word")
+    rows = words.select("word", name.alias("name"), long.alias("long"))
+    return rows.join(named_table(rows.select("name", "long"), path), "name").select("word", "ids", "decoded")
+
+
 class Head:
     """The frequent words, numbered from 0, with their ids one after the other and their decoded texts."""
 
@@ -187,7 +194,7 @@ def frequent_words(docs: DataFrame, path: str, most: int = HEAD_WORDS) -> Head:
 
     counts = lucky_ids(docs, SAMPLE_DOCS, "_text").mapInPandas(split, "word string").filter(F.length("word") <= LONG_WORD).groupBy("word").count()
     words = stage(counts.orderBy(F.desc("count"), "word").limit(most)).orderBy(F.desc("count"), "word").select("word")
-    return Head(words.toArrow()["word"].to_pylist(), word_table(words.select(F.col("word").alias("name"), F.lit(None).cast("string").alias("long")).repartition(HEAD_TASKS, "name"), path).toArrow())
+    return Head(words.toArrow()["word"].to_pylist(), named_table(words.select(F.col("word").alias("name"), F.lit(None).cast("string").alias("long")).repartition(HEAD_TASKS, "name"), path).toArrow())
 
 
 def numbered(docs: DataFrame, head, keep: list[str]) -> DataFrame:
@@ -292,7 +299,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] |
     # the aggregate reads all columns, so that the words go through one exchange for it and for the join; long words, which are few, on their own
     distinct = words.groupBy("name").agg(F.min(F.struct("_of", "_number")).alias("first")).filter("first IS NOT NULL").select("name")
     longs = spoken.filter(long.isNotNull()).groupBy(name.alias("name")).agg(F.max("_word").alias("long"))
-    found = words.join(word_table(distinct.join(longs, "name", "left"), path), "name").select("_of", "_number", "ids", "decoded")
+    found = words.join(named_table(distinct.join(longs, "name", "left"), path), "name").select("_of", "_number", "ids", "decoded")
     found = packed(found)
 
     def assemble(texts: pa.Table, tail: pa.Table) -> pa.Table:
