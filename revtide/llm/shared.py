@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Keys of a hot group are dealt over this many salts.
 SALTS = 64
-#: Rows in an Arrow batch: texts may be long, so batches stay small.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch: texts may be long, so batches stay small.
+BATCH_ROWS, BATCH_BYTES = 1000, "2m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound the memory of Python workers that read whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shared_folder(spark: SparkSession) -> str:
