@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .contamination import staged
 from .diffs import hunk_lines
 from .paths import file_name, is_test
 
@@ -110,20 +111,21 @@ def references(symbols: DataFrame, files: DataFrame, changed: DataFrame, keys: l
     symbols (keys, name), files (keys, path, text), changed (keys, path). Changed files and those of no known language
     don't count. A symbol that more than most_files files mention is dropped. An inverted index finds the candidates:
     each file's distinct words meet the first word of each symbol; names of several words are then looked for whole.
+    Symbols, words that meet one and mentions are staged, as several parts read each of them.
     """
     word = F.regexp_extract("name", r"(?U)(\w+)", 1)
-    asked = symbols.select(*keys, "name").distinct().withColumn("_word", word).filter("_word <> ''")
+    asked = staged(symbols.select(*keys, "name").distinct().withColumn("_word", word).filter("_word <> ''"))
     others = files.filter(language_of(F.col("path")).isNotNull()).join(changed.select(*keys, "path").distinct(), [*keys, "path"], "left_anti")
     known = asked.select("_word").distinct()
     words = others.select(*keys, "path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0)))).alias("_word"))
     if known.count() <= BROADCAST_WORDS:
         words = words.join(F.broadcast(known), "_word", "left_semi")
-    met = words.join(asked, [*keys, "_word"])
+    met = staged(words.join(asked, [*keys, "_word"]))
     whole = met.filter("name = _word").select(*keys, "path", "name")
     # a name of several words: its place in the text decides
     parts = met.filter("name <> _word").join(others, [*keys, "path"])
     beside = F.concat(F.lit(r"(?U)(?<!\w)\Q"), "name", F.lit(r"\E(?!\w)"))
-    found = whole.unionByName(parts.filter(F.rlike("text", beside)).select(*keys, "path", "name"))
+    found = staged(whole.unionByName(parts.filter(F.rlike("text", beside)).select(*keys, "path", "name")))
     counts = found.groupBy(*keys, "name").agg(F.count("*").alias("files"))
     kept = found.join(counts.filter(F.col("files") <= most_files).drop("files"), [*keys, "name"])
     hits = kept.groupBy(*keys, "path").agg(F.count("*").alias("hits"), F.array_sort(F.collect_list("name")).alias("names"))
