@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from revtide.llm import shingles, simhash
 from revtide.operators import resampling, scoring
 from revtide.params import ScoringParams
 
@@ -39,3 +40,16 @@ def test_draws_are_packed_small_and_whole():
             size += len(draws)
         assert (found[:n] == np.bincount(places, minlength=n)).all() and not found[n:].any()
         assert drawn < 10_000 or size < drawn / 2  # were two bytes a draw
+
+
+def test_near_duplicates_need_no_fingerprints(spark, monkeypatch):
+    """The prefix filter finds every link, so no other index runs before it."""
+
+    def unused(*_):
+        raise AssertionError("fingerprints were taken")
+
+    monkeypatch.setattr(simhash, "near_duplicates", unused)
+    words = [f"w{k}" for k in range(100)]
+    texts = [" ".join(words), " ".join([*words[:-2], "x", "y"]), " ".join(words[::-1]), None]
+    kept = shingles.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
