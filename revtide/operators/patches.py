@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import once
 from ..functions.texts import LINE_END, lines_of, stripped
-from .diffs import hunk_lines
+from .diffs import added_lines
 from .paths import in_scope
 
 #: Fixed first line of a file in a git diff.
@@ -78,22 +79,26 @@ class Check:
 
 
 def hit(check: Check, added: Column, before: Column, after: Column) -> Column:
-    """struct(line, detail) of where a check fires in a file, or null. added: struct(line, text) of every added line."""
+    """struct(rule, severity, category, line, detail) of where a check fires in a file, or null. added: struct(line, text) of every added line."""
+    fired = lambda line, detail: F.struct(*(F.lit(x).alias(name) for name, x in (("rule", check.rule), ("severity", check.severity), ("category", check.category))), line.alias("line"), detail.alias("detail"))
     if check.engine == THRESHOLD:
         crossed = (F.coalesce(before, F.lit(0)) < check.threshold) & (after >= check.threshold)
         beyond = F.get(F.filter(added, lambda x: x["line"] >= check.threshold), 0)["line"]
         line = F.coalesce(beyond, F.get(added, F.size(added) - 1)["line"], after)
-        return F.when(crossed, F.struct(line.alias("line"), F.format_string("(%d lines before this change, %d after.)", F.coalesce(before, F.lit(0)), after).alias("detail")))
-    lines = F.filter(added, lambda x: ~x["text"].rlike(check.exclude)) if check.exclude else added
-    found = F.filter(lines, lambda x: x["text"].rlike(check.pattern if check.engine == REGEX else check.select))
-    one = F.get(found, 0)
-    if check.engine == REGEX:
-        more = F.when(F.size(found) > 1, F.concat(F.lit(" and "), F.size(found) - 1, F.lit(" more added lines"))).otherwise("")
-        text = F.substring(stripped(one["text"]), 1, 120)
-        return F.when(F.size(found) > 0, F.struct(one["line"].alias("line"), F.concat(F.lit("(Line "), one["line"], F.lit(": `"), text, F.lit("`"), more, F.lit(".)")).alias("detail")))
-    every = (F.size(found) > 0) & F.forall(found, lambda x: x["text"].rlike(check.pattern))
-    detail = F.format_string("(%d added assertion lines, first at line %d.)", F.size(found), one["line"])
-    return F.when(every, F.struct(one["line"].alias("line"), detail.alias("detail")))
+        return F.when(crossed, fired(line, F.format_string("(%d lines before this change, %d after.)", F.coalesce(before, F.lit(0)), after)))
+    matches = lambda text: text.rlike(check.pattern if check.engine == REGEX else check.select)
+    lines = F.filter(added, lambda x: ~x["text"].rlike(check.exclude) & matches(x["text"]) if check.exclude else matches(x["text"]))
+
+    def told(found: Column) -> Column:
+        one = F.get(found, 0)
+        if check.engine == REGEX:
+            more = F.when(F.size(found) > 1, F.concat(F.lit(" and "), F.size(found) - 1, F.lit(" more added lines"))).otherwise("")
+            text = F.substring(stripped(one["text"]), 1, 120)
+            return F.when(F.size(found) > 0, fired(one["line"], F.concat(F.lit("(Line "), one["line"], F.lit(": `"), text, F.lit("`"), more, F.lit(".)"))))
+        every = (F.size(found) > 0) & F.forall(found, lambda x: x["text"].rlike(check.pattern))
+        return F.when(every, fired(one["line"], F.format_string("(%d added assertion lines, first at line %d.)", F.size(found), one["line"])))
+
+    return once(lines, told)
 
 
 def run_checks(files: DataFrame, checks: list[Check], keys: list[str]) -> DataFrame:
@@ -103,14 +108,10 @@ def run_checks(files: DataFrame, checks: list[Check], keys: list[str]) -> DataFr
     there. Removed files, and those out of a check's languages and paths, are left alone. All checks see a file's added
     lines in one pass.
     """
-    lines = F.flatten(F.transform(F.col("_hunks"), lambda h: F.filter(h["lines"], lambda x: x["tag"] == "+")))
-    added = F.transform(lines, lambda x: F.struct(x["new"].alias("line"), x["text"].alias("text")))
-    rows = files.filter(~F.col("status").eqNullSafe("removed")).withColumn("_hunks", hunk_lines("patch")).withColumn("_added", added)
+    rows = files.filter(~F.col("status").eqNullSafe("removed")).withColumn("_added", added_lines("patch"))
     found = []
     for check in checks:
         mine = in_scope(F.col("path"), list(check.paths)) & (F.col("language").isin(*check.languages) if check.languages else F.lit(True))
-        at = hit(check, F.col("_added"), F.col("before"), F.col("after"))
-        named = F.struct(F.lit(check.rule).alias("rule"), F.lit(check.severity).alias("severity"), F.lit(check.category).alias("category"), at["line"].alias("line"), at["detail"].alias("detail"))
-        found.append(F.when(mine & at.isNotNull(), named))
+        found.append(F.when(mine, hit(check, F.col("_added"), F.col("before"), F.col("after"))))
     fired = F.filter(F.array(*found), lambda x: x.isNotNull())
     return rows.select(*keys, "path", F.explode(fired).alias("_f")).select(*keys, "path", "_f.*")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .contamination import staged
-from .diffs import hunk_lines
+from .diffs import changed_text
 from .paths import file_name, is_test
 
 #: Fixed file endings of each language, and of header files.
@@ -81,12 +81,14 @@ def changed_symbols(files: DataFrame, keys: list[str], limit: int) -> DataFrame:
     kinds go in the order of KINDS, longer names first inside a kind.
     """
     rows = files.filter(~is_test(F.col("path"))).select(*keys, "path", language_of(F.col("path")).alias("_language"), F.col("patch"))
-    hunks = rows.withColumn("_h", F.explode(hunk_lines("patch"))).select(*keys, "path", "_language", "_h.section", "_h.lines")
-    changed = hunks.select(*keys, "path", "_language", F.explode(F.filter("lines", lambda x: x["tag"] != " ")).alias("x"))
-    definitions = changed.select(*keys, "path", F.lit("definition").alias("kind"), F.explode(defined(F.col("x.text"), F.col("_language"))).alias("name"))
-    named = defined(F.col("section"), F.col("_language"))
-    around = F.when(F.size(named) > 0, named).otherwise(F.slice(F.regexp_extract_all("section", F.lit(f"(?U){CALLED}"), F.lit(1)), 1, 1))
-    contexts = hunks.filter("section <> ''").select(*keys, "path", F.lit("hunk_context").alias("kind"), F.explode(around).alias("name"))
+    hunks = rows.select(*keys, "path", "_language", F.explode(changed_text("patch")).alias("_h"))
+    of = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    section = F.when(F.col("_h.section") != "", F.array(of("hunk_context", F.col("_h.section")))).otherwise(F.array())
+    told = hunks.select(*keys, "path", "_language", F.explode(F.concat(F.transform("_h.lines", lambda x: of("definition", x)), section)).alias("x"))
+    told = told.select(*keys, "path", "x.kind", "x.text", defined(F.col("x.text"), F.col("_language")).alias("_named"))
+    called = F.slice(F.regexp_extract_all("text", F.lit(f"(?U){CALLED}"), F.lit(1)), 1, 1)
+    names = F.when((F.col("kind") == "definition") | (F.size("_named") > 0), F.col("_named")).otherwise(called)
+    in_text = told.select(*keys, "path", "kind", F.explode(names).alias("name"))
     base = file_name(F.col("path"))
     module = F.substring_index(base, ".", 1)
     fine = F.col("_language").isNotNull() & usable(module) & ~F.regexp_replace(F.lower(module), "^_+", "").isin(COMMON_MODULES)
@@ -94,7 +96,7 @@ def changed_symbols(files: DataFrame, keys: list[str], limit: int) -> DataFrame:
     of_path = rows.select(
         *keys, "path", F.when(header, "header").otherwise("module").alias("kind"), F.when(header, base).when(fine, module).alias("name"), header.alias("_header")
     ).filter("name IS NOT NULL")
-    found = definitions.unionByName(contexts).filter(usable(F.col("name"))).unionByName(of_path.drop("_header"))
+    found = in_text.filter(usable(F.col("name"))).unionByName(of_path.drop("_header"))
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     best = found.groupBy(*keys, "name").agg(F.min(F.struct(order.alias("order"), F.col("path"), F.col("kind"))).alias("b"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("b.order", F.desc(F.length("name")), "name"))
