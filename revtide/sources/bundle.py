@@ -5,12 +5,10 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.texts import stripped
-
 #: The newest schema that this code reads.
 BUNDLE_SCHEMA = 3
 PR = "repo STRING, number BIGINT"
@@ -43,6 +41,10 @@ KEYS = {
     "round_gold": ["repo", "number", "reviewed_commit"], "escaped_defect": ["repo", "number", "fix"], "decision": ["at", "hypothesis", "change", "delta", "verdict"],
     "policy_version": ["hash"], "split": ["repo", "number"], "round_diff": ["repo", "number", "head"], "benchmark": ["repo", "number", "benchmark"], "cached_answer": ["key"],
 }
+#: A kind that lies in more folders than this is looked for in all files.
+MOST_FOLDERS = 64
+#: A sign that isn't a space, as texts.stripped has them.
+NOT_BLANK = r"(?U)[^\s\x1c-\x1f]"
 KEEPS = ("pr", "decision", "round_diff", "cached_answer")
 
 
@@ -75,8 +77,8 @@ def write_bundle(tables: Mapping[str, DataFrame], path: str, manifest: Mapping[s
         records = records.unionByName(part)
     spark = records.sparkSession
     records.write.partitionBy("folder").option("compression", "gzip").text(path)
-    written = spark.read.option("recursiveFileLookup", "true").text(path)
-    found = dict(written.groupBy(F.get_json_object("value", "$.kind")).count().collect())  # a row a kind
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "/folder=([^/]*)/[^/]*$", 1)
+    found = dict(spark.read.option("recursiveFileLookup", "true").text(path).groupBy(folder).count().collect())  # a row a kind
     counts = {kind: found.get(kind, 0) for kind in tables}
     line = json.dumps({"kind": "manifest", "bundle_schema": BUNDLE_SCHEMA, **(manifest or {}), "counts": counts}, sort_keys=True)
     spark.createDataFrame([(line,)], "value string").coalesce(1).write.option("compression", "gzip").text(f"{path}/folder=!manifest")
@@ -89,12 +91,25 @@ def read_bundle(spark: SparkSession, path: str) -> tuple[dict[str, object], dict
     Refused are: no manifest or several, one of a newer schema, lines that aren't JSON objects, unknown kinds, and counts
     that differ from the manifest's where it has any. Blank lines don't count. A kind without records is an empty table.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).filter(stripped(F.col("value")) != "")
-    kind = F.get_json_object("value", "$.kind")
-    counts = {r["kind"]: r["count"] for r in lines.groupBy(kind.alias("kind")).count().limit(len(KINDS) + 100).collect()}
+    kind, folder = F.get_json_object("value", "$.kind"), F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).filter(F.col("value").rlike(NOT_BLANK))
+    by_folder = lines.groupBy(kind.alias("kind"), folder.alias("folder")).count().withColumn("_kinds", F.count("*").over(Window.partitionBy("folder")))
+    told = by_folder.groupBy("kind").agg(F.sum("count").alias("count"), F.count("*").alias("folders"), (F.max("_kinds") == 1).alias("alone"), F.slice(F.collect_set("folder"), 1, MOST_FOLDERS).alias("some"))
+    found = {r["kind"]: r for r in told.limit(len(KINDS) + 100).collect()}
+    counts = {k: r["count"] for k, r in found.items()}
     if counts.get("manifest") != 1:
         raise BundleError(f"{path}: a bundle has one manifest, this has {counts.get('manifest', 0)}")
-    head = lines.filter(kind == "manifest").select(F.from_json("value", MANIFEST).alias("m")).select("m.*").first()
+
+    def of(k: str) -> DataFrame:
+        """The lines of a kind: none if none were counted, else those in the folders that hold some; a folder of one kind is taken whole."""
+        if k not in found:
+            return lines.filter(F.lit(False))
+        if found[k]["folders"] > MOST_FOLDERS:
+            return lines.filter(kind == k)
+        some = lines.filter(folder.isin(found[k]["some"]))
+        return some if found[k]["alone"] else some.filter(kind == k)
+
+    head = of("manifest").select(F.from_json("value", MANIFEST).alias("m")).select("m.*").first()
     if head["bundle_schema"] is None or head["bundle_schema"] > BUNDLE_SCHEMA:
         raise BundleError(f"{path}: bundle schema {head['bundle_schema']} is newer than this code reads ({BUNDLE_SCHEMA})")
     unknown = sorted(str(k) for k in counts if k != "manifest" and k not in KINDS)
@@ -104,7 +119,7 @@ def read_bundle(spark: SparkSession, path: str) -> tuple[dict[str, object], dict
     wrong = [f"{k}: {counts.get(k, 0)} of {n}" for k, n in sorted(stated.items()) if counts.get(k, 0) != n]
     if wrong:
         raise BundleError(f"{path}: records are missing or too many ({', '.join(wrong)})")
-    tables = {k: lines.filter(kind == k).select(F.from_json("value", table_schema(k)).alias("r")).select("r.*") for k in KINDS}
+    tables = {k: of(k).select(F.from_json("value", table_schema(k)).alias("r")).select("r.*") for k in KINDS}
     return head.asDict(recursive=True), tables
 
 

@@ -275,3 +275,19 @@ def test_imports_keep_or_replace(spark):
     counts = {r.kind: (r.added, r.kept) for r in report.collect()}
     assert (counts["pr"], counts["gold"], counts["decision"], counts["policy_version"], counts["split"], counts["cached_answer"]) == ((0, 2), (1, 0), (1, 1), (0, 1), (1, 1), (0, 1))
     assert contents(second)["pr"] == contents(first)["pr"] and second["gold"].first().reviewed_commit == "new" and second["decision"].count() == 2
+
+
+def test_a_kind_is_read_from_its_own_folders(spark, tmp_path):
+    """Also where a folder holds several kinds, and names that file paths encode."""
+    path = tmp_path / "a b+c%41"
+    bundle.write_bundle({"split": spark.sql("SELECT 'r' repo, 1L number, 'train' split"), "gold": spark.sql("SELECT 'r' repo, 2L number")}, str(path))
+    (path / "more é").mkdir()
+    (path / "more é" / "x.txt").write_text('\n \x1c\n{"kind": "gold", "repo": "q", "number": 3}\n{"kind": "policy_version", "hash": "h"}\n')
+    manifest = next((path / "folder=%21manifest").glob("*.gz")) if (path / "folder=%21manifest").exists() else next((path / "folder=!manifest").glob("*.gz"))
+    manifest.unlink()
+    for crc in manifest.parent.glob(".*.crc"):
+        crc.unlink()
+    (manifest.parent / "m.txt").write_text('{"kind": "manifest", "bundle_schema": 1}')
+    _, tables = bundle.read_bundle(spark, str(path))
+    assert sorted(r.number for r in tables["gold"].collect()) == [2, 3] and tables["policy_version"].first().hash == "h" and tables["split"].first().number == 1
+    assert [len(tables[k].inputFiles()) for k in ("benchmark", "decision")] == [0, 0]
