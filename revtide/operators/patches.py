@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import once
-from ..functions.texts import LINE_END, lines_of, stripped
+from ..functions.texts import LINE_END, OTHER_END, stripped
 from .diffs import added_lines
 from .paths import in_scope
 
@@ -23,8 +23,13 @@ HEADER = {
 
 def last(text: Column, pattern: str) -> Column:
     """The first group of the last match, or null."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    return F.get(found, F.size(found) - 1)
+    return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(-1))
+
+
+def worked_out(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with further columns, each worked out once a row however often and in however many filters later steps read it."""
+    one = rows.select("*", F.explode(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))).alias("_once"))
+    return one.select(*rows.columns, "_once.*")
 
 
 def split_diff(diffs: DataFrame, text: str, keys: list[str]) -> DataFrame:
@@ -34,29 +39,33 @@ def split_diff(diffs: DataFrame, text: str, keys: list[str]) -> DataFrame:
     its first `@@`; hunk is null if it has none (binary files, pure renames). previous_path is null unless it differs.
     A null text has no files.
     """
-    whole = F.regexp_replace(F.col(text), LINE_END, "\n")
+    whole = F.when(F.col(text).rlike(OTHER_END), F.regexp_replace(F.col(text), LINE_END, "\n")).otherwise(F.col(text))
     cut = F.split(whole, rf"(?dm)^(?={GIT_FILE}$)")
-    rows = diffs.select(*keys, F.posexplode(cut).alias("ord", "_part"))
-    git = F.col("_part").rlike(rf"^{GIT_FILE}(\n|\z)")
-    plain = F.regexp_extract("_part", r"(?dms)^(--- .*)", 1)  # what follows the first such line
-    part = F.when(git, F.col("_part")).otherwise(plain)
-    at = F.regexp_instr(part, F.lit(r"(?dm)^@@"))
-    rows = rows.select(*keys, "ord", git.alias("_git"), part.alias("_part"), F.when(at > 0, F.substring(part, F.lit(1), at - 1)).otherwise(part).alias("_head"), F.when(at > 0, F.substring(part, at, F.length(part))).alias("_body"))
-    head = F.col("_head")
-    told = {name: last(head, pattern) for name, pattern in HEADER.items()}
-    bare = lambda c, prefix: F.regexp_replace(stripped(c), f"^{prefix}/", "")
-    before = F.when(F.col("_git"), F.coalesce(told["from"], F.regexp_extract(head, f"^{GIT_FILE}", 1))).otherwise(bare(told["old"], "a"))
-    after = F.when(F.col("_git"), F.regexp_extract(head, f"^{GIT_FILE}", 2))
-    gone = stripped(told["new"]) == "/dev/null"
-    path = F.when(gone & (before != ""), before).when(told["new"].isNotNull() & ~gone, bare(told["new"], "b")).otherwise(F.coalesce(told["to"], after))
+    rows = worked_out(diffs.select(*keys, F.posexplode(cut).alias("ord", "_file")), _git=F.col("_file").rlike(rf"^{GIT_FILE}(\n|\z)"))
+    plain = F.regexp_extract("_file", r"(?dms)^(--- .*)", 1)  # what follows the first such line
+    rows = worked_out(rows, _part=F.when(F.col("_git"), F.col("_file")).otherwise(plain)).drop("_file")
+    rows = worked_out(rows, _at=F.regexp_instr("_part", F.lit(r"(?dm)^@@")))
+    hunks_at, part = F.col("_at") > 0, F.col("_part")
+    body = F.substring(part, F.col("_at"), F.length(part))
+    lines = F.array_join(F.filter(F.split(body, "\n"), lambda line: line.startswith("@@") | line.rlike(r"^[ +\-\\]")), "\n")
+    rows = worked_out(rows, _head=F.when(hunks_at, F.substring(part, F.lit(1), F.col("_at") - 1)).otherwise(part), _hunks=F.when(hunks_at, lines)).drop("_part", "_at")
+    head, git = F.col("_head"), F.col("_git")
+    rows = worked_out(
+        rows, **{f"_{name}": last(head, pattern) for name, pattern in HEADER.items()},
+        _a=F.when(git, F.regexp_extract(head, f"^{GIT_FILE}", 1)), _b=F.when(git, F.regexp_extract(head, f"^{GIT_FILE}", 2)),
+    ).drop("_head")
+    rows = worked_out(rows, _minus=stripped(F.col("_old")), _plus=stripped(F.col("_new")))
+    bare = lambda c, prefix: F.when(c.startswith(f"{prefix}/"), F.substring(c, 3, 2**31 - 1)).otherwise(c)
+    before = F.when(git, F.coalesce("_from", "_a")).otherwise(bare(F.col("_minus"), "a"))
+    gone, mode = F.col("_plus") == "/dev/null", F.col("_status")
+    path = F.when(gone & (before != ""), before).when(F.col("_plus").isNotNull() & ~gone, bare(F.col("_plus"), "b")).otherwise(F.coalesce("_to", "_b"))
     status = (
-        F.when(gone & (before != ""), "removed").when(F.col("_git") & (stripped(told["old"]) == "/dev/null"), "added").when(told["status"] == "new file mode", "added")
-        .when(told["status"] == "deleted file mode", "removed").when(told["status"].isNotNull(), "renamed").otherwise("modified")
+        F.when(gone & (before != ""), "removed").when(git & (F.col("_minus") == "/dev/null"), "added").when(mode == "new file mode", "added")
+        .when(mode == "deleted file mode", "removed").when(mode.isNotNull(), "renamed").otherwise("modified")
     )
-    lines = F.filter(F.split("_body", "\n"), lambda line: line.startswith("@@") | line.rlike(r"^[ +\-\\]"))
-    hunks = F.array_join(lines, "\n")
-    named = rows.select(*keys, "ord", path.alias("path"), status.alias("status"), F.when(hunks != "", hunks).alias("patch"), before.alias("_before")).filter("path IS NOT NULL")
-    return named.select(*keys, "ord", "path", "status", "patch", F.when(F.col("_before") != F.col("path"), F.col("_before")).alias("previous_path"))
+    named = worked_out(rows, path=path, status=status, _before=before).filter("path IS NOT NULL")
+    patch = F.when(F.col("_hunks") != "", F.col("_hunks")).alias("patch")
+    return named.select(*keys, "ord", "path", "status", patch, F.when(F.col("_before") != F.col("path"), F.col("_before")).alias("previous_path"))
 
 
 REGEX, STRUCTURAL, THRESHOLD = "added_lines_regex", "structural_pattern", "threshold"

@@ -4,7 +4,7 @@ import random
 
 import pyarrow as pa
 
-from revtide.operators import diffs
+from revtide.operators import diffs, patches
 
 LINES = ["@@ -1,2 +1,3 @@ f", "@@ -5,0 +6,2 @@", "@@ -3 +2,0 @@  x ", "@@ -0,0 +1 @@", "@@ bad", "+a", "-b", " c", "", "+", "-", "\\ No newline", "+é", "é", "+++ x", "+x\x0cq", "@"]
 
@@ -48,3 +48,12 @@ def test_a_batch_of_patches_is_read_as_line_by_line():
 def test_added_lines_of_a_column(spark):
     rows = spark.createDataFrame([(1, "@@ -1 +1,2 @@ f\n-a\n+b\n+c"), (2, None)], "i int, patch string").select("i", diffs.added_lines("patch").alias("a"))
     assert {r.i: [(x.line, x.text) for x in r.a] for r in rows.collect()} == {1: [(1, "b"), (2, "c")], 2: []}
+
+
+def test_a_header_of_a_diff_is_searched_once(spark):
+    """Each pattern stands once in the plan, so no filter or later column searches again."""
+    rows = spark.createDataFrame([("k", "diff --git a/x b/y\r\nrename from x\nrename to y\n")], "k string, d string")
+    found = patches.split_diff(rows, "d", ["k"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(pattern) for pattern in patches.HEADER.values()] == [1] * len(patches.HEADER)
+    assert [(r.path, r.status, r.patch, r.previous_path) for r in found.collect()] == [("y", "renamed", None, "x")]
