@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, stage, table
+from .shared import ascii_lower, stage, table, without_numbers
 
 #: A power of two.
 RUNS = 64
@@ -71,8 +71,11 @@ def mark_duplicates(
 
 
 def drop_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: str = "largest") -> DataFrame:
-    """The rows of docs that stay, with the columns of docs, whatever they are called."""
-    return found_groups(docs, text_col, id_col, keep, docs.columns).filter("kept").select("_doc.*")
+    """The rows of docs that stay, with the columns of docs, whatever they are called; only digests are shuffled."""
+    rows = stage(digests(docs, text_col, id_col, docs.columns))
+    short = rows.drop("_doc")
+    gone = short.join(merge_runs(short, keep), [*DIGEST, "_run"]).filter("_row <> _best.row").select("_row")
+    return without_numbers(rows.select("_doc", "_row"), gone, "_row").select("_doc.*")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
