@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import ranked, running_sum
+from .contamination import staged
 
 REVIEW_KINDS = ("human", "ai")
 DISMISSED = ("thumbs_down", "resolved_no_change", "ignored")
@@ -119,16 +120,40 @@ def select_rounds(rounds: DataFrame, most: int) -> DataFrame:
     return rounds.withColumn("_turn", turn).filter(F.col("_turn") <= most).drop("_turn")
 
 
+#: A place with about so many threads is sorted a day at a time; each thread is looked at with a chance of 1 / SAMPLED to find such places.
+LARGE, SAMPLED = 65_536, 1_024
+
+
 def threads_before(prs: DataFrame, threads: DataFrame, most: int) -> DataFrame:
     """For each PR (repo, number, path, created_at) the latest `most` earlier threads of its repo and path.
 
-    PRs and threads of a path are brought into one order, so that no pairs of them are made: how many threads came before
-    a PR tells which are its last. Times are text that begins with a day; a path's rows are sorted a day at a time.
+    PRs and threads of a path are brought into one order, so that no pairs of them are made: what came before a PR there
+    are its threads. Times are text that begins with a day; the few paths with very many threads are sorted a day at a
+    time. Which ones these are is told from a sample and decides nothing but the way.
     """
+    keys = ["repo", "path"]
+    known = threads.select(*keys, "thread_id", "created_at").filter("repo IS NOT NULL AND path IS NOT NULL AND created_at IS NOT NULL")
+    asked = prs.select("repo", "number", "path", "created_at").filter("repo IS NOT NULL AND path IS NOT NULL AND created_at IS NOT NULL")
+    met = known.select(*keys).filter(F.rand(7) < 1 / SAMPLED).groupBy(*keys).agg(F.count("*").alias("_n"))
+    large = F.broadcast(staged(met.filter(F.col("_n") >= LARGE / SAMPLED).select(*keys)))  # at most a place for each LARGE threads or so
+    few = _before_in_one_order(*(x.join(large, keys, "left_anti") for x in (asked, known)), most)
+    return few.unionByName(_before_by_day(*(x.join(large, keys, "left_semi") for x in (asked, known)), most))
+
+
+def _before_in_one_order(asked: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    both = asked.withColumn("_thread", F.lit(0)).unionByName(known.withColumn("_thread", F.lit(1)), allowMissingColumns=True)
+    both = both.withColumn("_told", F.when(F.col("_thread") == 1, F.struct("thread_id")))
+    before = [F.expr(f"lag(_told, {k}) IGNORE NULLS OVER (PARTITION BY repo, path ORDER BY created_at, _thread, thread_id DESC)") for k in range(1, most + 1)]
+    seen = both.withColumn("_before", F.array(*before)).filter("_thread = 0")
+    each = seen.select("repo", "number", "path", F.posexplode("_before").alias("_at", "_one")).filter("_one IS NOT NULL")
+    return each.select("repo", "number", "path", "_one.thread_id", (F.col("_at") + 1).alias("rank"))
+
+
+def _before_by_day(asked: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """Numbers the threads of a path and counts how many came before a PR, which tells its last ones."""
     day, place = F.substring("created_at", 1, 10), F.concat_ws("\0", "repo", "path")
-    known = ranked(threads.select("repo", "path", "thread_id", "created_at", place.alias("_place")), "_place", day, ["created_at", F.desc("thread_id")], "_seq", "_all").drop("_all")
-    asked = prs.select("repo", "number", "path", "created_at").withColumn("_thread", F.lit(0))
-    both = asked.unionByName(known.select("repo", "path", "created_at").withColumn("_thread", F.lit(1)), allowMissingColumns=True)
+    known = ranked(known.withColumn("_place", place), "_place", day, ["created_at", F.desc("thread_id")], "_seq", "_all").drop("_all")
+    both = asked.withColumn("_thread", F.lit(0)).unionByName(known.select("repo", "path", "created_at").withColumn("_thread", F.lit(1)), allowMissingColumns=True)
     counted = running_sum(both, ["repo", "path"], day, ["created_at", "_thread"], "_thread", "_upto", "_all")
     seen = counted.filter("_thread = 0 AND _upto > 0").select("repo", "number", "path", "_upto")
     last = seen.withColumn("_seq", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_upto") - most + 1), F.col("_upto"))))
