@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits that keys are hashed to, 8 MB in all, and those of one row of the broadcast table (what bitmap_construct_agg holds).
-BITS, WORD = 1 << 26, 32_768
+#: Bits that keys are hashed to, 16 MB in all, and those of one row of the broadcast table (what bitmap_construct_agg holds).
+BITS, WORD = 1 << 27, 32_768
 
 
 def may_be_among(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.members import may_be_among
+from .contamination import staged
 from .paths import in_scope
 
 ROUND = ["repo", "number", "round"]
@@ -57,16 +59,16 @@ def similar_pairs(findings: DataFrame, slack: int) -> DataFrame:
     findings (repo, number, round, finding_id, path, start_line, end_line, title, body); lines may be `slack` apart.
     """
     rows = findings.select(*ROUND, "path", "finding_id", "start_line", "end_line", words(F.col("title"), F.col("body")).alias("words"))
-    left, right = ([F.col(c).alias(f"{side}_{c}") for c in ("finding_id", "start_line", "end_line", "words")] for side in "ab")
-    keys = [*ROUND, "path"]
-    near = (F.col("a_start_line") - slack <= F.col("b_end_line")) & (F.col("b_start_line") - slack <= F.col("a_end_line"))
-    near = near & (F.col("a_finding_id") < F.col("b_finding_id"))  # while joining, so that other pairs aren't made
-    for c in keys:
-        near = near & (F.col(c) == F.col(f"_{c}"))
-    pairs = rows.select(*keys, *left).join(rows.select(*(F.col(c).alias(f"_{c}") for c in keys), *right), near)
-    overlap = F.size(F.array_intersect("a_words", "b_words")) / F.size(F.array_union("a_words", "b_words"))
-    kept = pairs.filter((F.size("a_words") > 0) & (F.size("b_words") > 0)).withColumn("overlap", overlap)
-    return kept.filter(F.col("overlap") >= SIMILARITY).select(*ROUND, F.col("a_finding_id").alias("a"), F.col("b_finding_id").alias("b"), "overlap")
+    needed = " AND ".join(f"{c} IS NOT NULL" for c in (*ROUND, "path", "finding_id", "start_line", "end_line"))
+    # findings of a path are dealt once, and most paths have one
+    of_path = rows.filter(f"{needed} AND size(words) > 0").groupBy(*ROUND, "path").agg(F.collect_list(F.struct("finding_id", "start_line", "end_line", "words")).alias("_all"))
+    each = of_path.filter("size(_all) > 1").select(*ROUND, "_all", F.explode("_all").alias("a"))
+    a = F.col("a")
+    near = lambda b: (a["start_line"] - slack <= b["end_line"]) & (b["start_line"] - slack <= a["end_line"]) & (a["finding_id"] < b["finding_id"])
+    pairs = each.select(*ROUND, "a", F.explode(F.filter("_all", near)).alias("b"))
+    overlap = F.size(F.array_intersect("a.words", "b.words")) / F.size(F.array_union("a.words", "b.words"))
+    kept = pairs.withColumn("overlap", overlap).filter(F.col("overlap") >= SIMILARITY)
+    return kept.select(*ROUND, F.col("a.finding_id").alias("a"), F.col("b.finding_id").alias("b"), "overlap")
 
 
 def similar_to(one: str, two: str, slack: int) -> Column:
@@ -89,7 +91,7 @@ def merge_duplicates(findings: DataFrame, slack: int) -> DataFrame:
     """
     both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     pairs = similar_pairs(findings, slack).select(*ROUND, both.alias("p"))
-    near = pairs.groupBy(*ROUND, F.col("p.a").alias("finding_id")).agg(F.collect_set("p.b").alias("_near"))
+    near = staged(pairs.groupBy(*ROUND, F.col("p.a").alias("finding_id")).agg(F.collect_set("p.b").alias("_near")))
 
     def group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         round_, of, begun = None, {}, {}
@@ -105,19 +107,26 @@ def merge_duplicates(findings: DataFrame, slack: int) -> DataFrame:
             yield rows[[*ROUND, "finding_id"]].assign(_group=groups)
 
     kinds = ", ".join(f"`{c}` {findings.schema[c].dataType.simpleString()}" for c in (*ROUND, "finding_id"))
-    repeats = findings.select(*ROUND, "ord", "finding_id").join(near, [*ROUND, "finding_id"])  # the others are groups of their own
-    by_round = repeats.repartition(*ROUND).sortWithinPartitions(*ROUND, F.asc_nulls_last("ord"), "finding_id")
-    grouped = by_round.mapInPandas(group, f"{kinds}, _group string")
     severity = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
     size = -F.length(F.coalesce("body", F.lit(""))) - F.length(F.coalesce("trace", F.lit("")))
     rank = F.struct(severity.alias("s"), F.get("raised_by", F.lit(0)).startswith("check:").alias("c"), size.alias("l"), "ord", "finding_id")
-    rows = findings.join(grouped, [*ROUND, "finding_id"], "left").withColumn("_group", F.coalesce("_group", "finding_id")).withColumn("_rank", rank)
-    best = Window.partitionBy(*ROUND, "_group").orderBy("_rank")
-    others = F.sort_array(F.collect_list(F.struct("ord", "raised_by", "lessons_cited")).over(Window.partitionBy(*ROUND, "_group")))
-    rows = rows.withColumns({"_turn": F.row_number().over(best), "_all": others})
+    # rows of one name are one finding; few findings have others near them, so the rest isn't dealt by group
+    same = Window.partitionBy(*ROUND, "finding_id")
+    told = F.collect_list(F.struct("ord", "raised_by", "lessons_cited")).over(same)
+    once_of = lambda rows: rows.withColumn("_rank", rank).withColumns({"_turn": F.row_number().over(same.orderBy("_rank")), "_all": told}).filter("_turn = 1")
+    once = once_of(findings)
+    few = once_of(may_be_among(findings, near, [*ROUND, "finding_id"]))
+    repeats = staged(few.select(*ROUND, "ord", "finding_id", "_rank", "_all").join(near, [*ROUND, "finding_id"]))
+    by_round = repeats.select(*ROUND, "ord", "finding_id", "_near").repartition(*ROUND).sortWithinPartitions(*ROUND, F.asc_nulls_last("ord"), "finding_id")
+    grouped = by_round.mapInPandas(group, f"{kinds}, _group string")
+    of_group = Window.partitionBy(*ROUND, "_group")
+    repeats = repeats.drop("_near").join(grouped, [*ROUND, "finding_id"])
+    repeats = repeats.withColumns({"_best": F.row_number().over(of_group.orderBy("_rank")) == 1, "_joined": F.flatten(F.collect_list("_all").over(of_group))})
+    decided = repeats.select(*ROUND, "finding_id", "_best", F.when(F.col("_best"), F.col("_joined")).alias("_joined"))
+    merged = once.join(decided, [*ROUND, "finding_id"], "left").filter(F.coalesce("_best", F.lit(True)))
+    merged = merged.withColumn("_all", F.sort_array(F.coalesce("_joined", "_all")))
     union = lambda c: F.array_distinct(F.concat(c, F.flatten(F.transform("_all", lambda x: x[c]))))
-    merged = rows.filter("_turn = 1").withColumns({c: union(c) for c in ("raised_by", "lessons_cited")})
-    return merged.select(*findings.columns)
+    return merged.withColumns({c: union(c) for c in ("raised_by", "lessons_cited")}).select(*findings.columns)
 
 
 def rereview(findings: DataFrame, prior: DataFrame, slack: int) -> DataFrame:
